@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import near_dedup, repetition
+import corpus_pipeline
+
+from . import decontaminate, near_dedup, pieces, pii, repetition
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_decontamination": decontaminate.query,
+        "op2_sentencepiece": pieces.query,
+        "op3_pii": pii.query,
         "op5_near_dedup": near_dedup.query,
         "op9_repetition_rules": repetition.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": decontaminate.ORACLE}

@@ -80,11 +80,11 @@ class Words:
         # words end where their text ends, whatever the next text begins with
         cuts = self.base[1:-1]
         cuts = cuts[(cuts > 0) & (cuts < len(cp))]
-        cuts = np.unique(cuts)
+        cuts = cuts[np.append(True, cuts[1:] != cuts[:-1])] if len(cuts) else cuts
         glued = cuts[(inside[cuts - 1] == 1) & (inside[cuts] == 1)]
         start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         if len(glued):
-            start, end = np.union1d(start, glued), np.union1d(end, glued)
+            start, end = np.sort(np.append(start, glued)), np.sort(np.append(end, glued))
         self.cp, self.start, self.end = cp, start, end
         self.first = np.searchsorted(start, self.base)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
@@ -185,7 +185,7 @@ def suffix_ranks(symbols: np.ndarray, doc: np.ndarray, ends: np.ndarray, separat
     left = ends - np.arange(n)
     while done < depth:
         nxt = np.zeros(n, np.int64)
-        nxt[: n - done] = key[done:]
+        nxt[: max(0, n - done)] = key[done:]
         nxt[left <= done] = 0
         key = (key << (width * done)) | nxt
         done *= 2
