@@ -22,10 +22,12 @@ the vocabulary's size whatever the data are).
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +38,7 @@ from .textops import _powers, bounded, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters a block; distinct segments that a worker remembers.
-BLOCK, REMEMBER = 2_000_000, 1_500_000
+BLOCK, REMEMBER = 2_000_000, 1_000_000
 
 
 class Vocabulary:
@@ -44,6 +46,7 @@ class Vocabulary:
 
     def __init__(self, pieces: list[str], scores: list[float], bpe: bool, unknown: int, byte_ids: list[int] | None, skip: set[int] = frozenset()):
         self.pieces, self.bpe, self.unknown, self.byte_ids = pieces, bpe, unknown, byte_ids
+        self.name = zlib.crc32(repr((pieces, scores, bpe, unknown, byte_ids)).encode())
         usable = [i for i in range(len(pieces)) if i not in skip and pieces[i]]
         self.score = np.array(scores, np.float64)
         chars = sorted({c for i in usable for c in pieces[i]})
@@ -222,16 +225,22 @@ class Vocabulary:
     def encode_segments(self, segments: list[np.ndarray]) -> list[np.ndarray]:
         """Piece ids of segments of known characters."""
         out: list = [None] * len(segments)
-        lengths = np.array([len(s) for s in segments])
-        order = np.argsort(lengths, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(lengths[order]) > 0))
+        lengths = np.array([len(s) for s in segments], np.int64)
+        # filled up to few lengths with a code that no piece has, so that many are of equal length
+        filled = np.maximum(4, lengths)
+        top = 1 << np.maximum(0, np.int64(np.ceil(np.log2(filled))) - 2)
+        filled = -(-filled // top) * top
+        order = np.argsort(filled, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(filled[order]) > 0)) if len(order) else np.empty(0, np.int64)
         for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
-            length = int(lengths[order[lo]])
-            step = max(1, 4_000_000 // (length + 1))
+            length = int(filled[order[lo]])
+            step = max(1, 2_000_000 // (length + 1))
             for k in range(lo, hi, step):
                 rows = order[k : min(hi, k + step)]
-                last, size = self.viterbi(np.stack([segments[r] for r in rows]))
-                at, parts = np.full(len(rows), length), []
+                codes = np.zeros((len(rows), length), self.code.dtype)
+                codes[np.arange(length) < lengths[rows][:, None]] = np.concatenate([segments[r] for r in rows])
+                last, size = self.viterbi(codes)
+                at, parts = lengths[rows].copy(), []
                 where = np.arange(len(rows))
                 while len(where):  # back from the ends, all rows together
                     p = last[where, at[where]]
@@ -283,23 +292,40 @@ class Encoder:
         self.known = np.empty(0, np.uint64)  # hashes, sorted
         self.slot = np.empty(0, np.int64)
         self.flat, self.begin, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.again = np.empty(0, bool)  # asked for again since it was learnt
 
-    def _learn(self, hashes: np.ndarray, segments: list[np.ndarray], texts: list[str], slow: np.ndarray) -> None:
-        ids: list = [None] * len(segments)
-        fast = np.flatnonzero(~slow)
-        for r, x in zip(fast.tolist(), self.v.encode_segments([segments[k] for k in fast])):
-            ids[r] = x
-        for r in np.flatnonzero(slow).tolist():
-            ids[r] = np.array(self.v.merge(texts[r]))
+    def _trim(self) -> None:
+        """Keeps the segments that were asked for again."""
+        keep = self.again[self.slot]
+        known, slot = self.known[keep], self.slot[keep]
+        count, begin = self.count[slot], self.begin[slot]
+        first = np.append(0, np.cumsum(count))
+        flat = self.flat[np.repeat(begin - first[:-1], count) + np.arange(first[-1])]
+        self._forget()
+        if len(known) <= REMEMBER // 2:
+            self.known, self.slot, self.flat, self.begin, self.count = known, np.arange(len(known)), flat, first[:-1], count
+            self.again = np.zeros(len(known), bool)
+
+    def _keep(self, hashes: np.ndarray, ids: list) -> None:
         count = np.array([len(x) for x in ids], np.int64)
         begin = len(self.flat) + np.cumsum(count) - count
         slot = len(self.begin) + np.arange(len(ids))
-        self.flat = np.concatenate([self.flat, *ids]).astype(np.int32)
+        self.flat = np.concatenate([self.flat, np.concatenate(ids).astype(np.int32)])
         self.begin, self.count = np.append(self.begin, begin), np.append(self.count, count)
+        self.again = np.append(self.again, np.zeros(len(ids), bool))
         known, slots = np.append(self.known, hashes), np.append(self.slot, slot)
         order = np.argsort(known)
         self.known, self.slot = known[order], slots[order]
 
+    def _learn(self, hashes: np.ndarray, segments: list[np.ndarray], texts: list[str], slow: np.ndarray) -> None:
+        ids: list = [None] * len(segments)
+        fast = np.flatnonzero(~slow)
+        for r, x in zip(fast.tolist(), self.v.encode_segments([segments[k] for k in fast])):
+            ids[r] = x
+        for r in np.flatnonzero(slow).tolist():
+            ids[r] = np.array(self.v.merge(texts[r]))
+        self._keep(hashes, ids)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each text's begin."""
         v = self.v
@@ -336,12 +362,18 @@ class Encoder:
                 lo = hi
         hashes = mix(hashes)
         if len(self.known) > REMEMBER:
-            self._forget()
-        at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
-        new = np.flatnonzero(self.known[at] != hashes) if len(self.known) else np.arange(len(start))
-        if len(new):
-            order = new[np.argsort(hashes[new], kind="stable")]
-            first = order[np.append(True, hashes[order][1:] != hashes[order][:-1])]
+            self._trim()
+        # each distinct segment is looked up once, in order of the hashes
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        lead = np.append(True, ranked[1:] != ranked[:-1])
+        distinct, example = ranked[lead], order[lead]
+        which = np.empty(len(start), np.int64)
+        which[order] = np.cumsum(lead) - 1
+        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
+        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        if new.any():
+            first = example[new]
             segments = [code[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())]
             strings = [joined[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())]
             slow = odd[first].copy()
@@ -353,9 +385,11 @@ class Encoder:
             keep = ~plain
             if keep.any():
                 pick = np.flatnonzero(keep)
-                self._learn(hashes[first][pick], [segments[k] for k in pick], [strings[k] for k in pick], slow[pick])
-            at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
+                self._learn(hashes[first[pick]], [segments[k] for k in pick], [strings[k] for k in pick], slow[pick])
+            at = np.searchsorted(self.known, distinct)
         slot = self.slot[at]
+        self.again[slot[~new]] = True
+        slot = slot[which]
         count, begin = self.count[slot], self.begin[slot]
         first = np.append(0, np.cumsum(count))
         out = self.flat[np.repeat(begin - first[:-1], count) + np.arange(first[-1])]
@@ -387,14 +421,7 @@ class Encoder:
             with np.errstate(over="ignore"):
                 hashes.append(np.uint64((cp * up[: len(cp)]).sum(dtype=np.uint64)) + np.uint64(len(cp)) * np.uint64(0xD6E8FEB86659FD93))
             done[r] = True
-        count = np.array([len(x) for x in ids], np.int64)
-        begin = len(self.flat) + np.cumsum(count) - count
-        slot = len(self.begin) + np.arange(len(ids))
-        self.flat = np.concatenate([self.flat, *ids]).astype(np.int32)
-        self.begin, self.count = np.append(self.begin, begin), np.append(self.count, count)
-        known, slots = np.append(self.known, mix(np.array(hashes, np.uint64))), np.append(self.slot, slot)
-        order = np.argsort(known)
-        self.known, self.slot = known[order], slots[order]
+        self._keep(mix(np.array(hashes, np.uint64)), ids)
         return done
 
     def _unigram(self, text: str) -> list[int]:
@@ -439,11 +466,10 @@ _HELD: dict = {}
 
 
 def _held(kind: type, v: Vocabulary):
-    key = (kind, id(v))
-    if key not in _HELD:
-        _HELD.clear() if len(_HELD) > 4 else None
-        _HELD[key] = (v, kind(v))
-    return _HELD[key][1]
+    """A worker's encoder or decoder, kept for the next task that has the same vocabulary."""
+    if kind not in _HELD or _HELD[kind][0] != v.name:
+        _HELD[kind] = (v.name, kind(v))
+    return _HELD[kind][1]
 
 
 def encode(text: Column, vocabulary) -> Column:
@@ -474,7 +500,6 @@ def decode(ids: Column, vocabulary) -> Column:
             lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
             first = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
             got = decoder.decode(lists.flatten().to_numpy(zero_copy_only=False), first)
-            empty = np.array([x is None for x in lists.is_valid().to_pylist()], bool)
             valid = lists.is_valid().to_pylist()
             yield pa.array([t if ok else None for t, ok in zip(got, valid)], pa.string())
 
@@ -492,11 +517,27 @@ def detokenize(docs: DataFrame, ids: str = "piece_ids", model: str = MODEL, into
     return docs.select(*own(docs), decode(F.col(quoted(ids)), v).alias(into))
 
 
-def encode_decode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """(doc_id, piece_ids, n_pieces, decoded) of each document."""
+def encode_decode(docs: DataFrame, text: str = "text", model: str = MODEL, id: str = "doc_id") -> DataFrame:
+    """(id, piece_ids, n_pieces, decoded) of each document, in one pass through Python."""
     v = docs.sparkSession.sparkContext.broadcast(load(model))
-    got = docs.select("doc_id", encode(F.col(quoted(text)), v).alias("piece_ids"))
-    return got.select("doc_id", "piece_ids", F.size("piece_ids").cast("bigint").alias("n_pieces"), decode(F.col("piece_ids"), v).alias("decoded"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _held(Encoder, v.value), _held(Decoder, v.value)
+        for batch in batches:
+            at = 0
+            texts = batch.column(1)
+            for some, values in bounded(range(batch.num_rows), texts.to_pylist(), BLOCK):
+                ids, first = encoder.encode(values)
+                valid = texts.slice(at, len(some)).is_valid()
+                mask = None if texts.null_count == 0 else pa.compute.invert(valid)
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32()), mask=mask)
+                n = pa.compute.if_else(valid, pa.array(np.diff(first)), pa.scalar(None, pa.int64()))
+                back = pa.compute.if_else(valid, pa.array(decoder.decode(ids, first), pa.string()), pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), lists, n, back], [id, "piece_ids", "n_pieces", "decoded"])
+                at += len(some)
+
+    kind = docs.schema[id].dataType.simpleString()
+    return docs.select(F.col(quoted(id)).alias(id), F.col(quoted(text)).alias("text_")).mapInArrow(make, f"{quoted(id)} {kind}, piece_ids array<int>, n_pieces bigint, decoded string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
