@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starlace.llm import decontaminate, near_dedup, pieces, pii, repetition
-from starlace.llm.frames import quoted, written
+from starlace.llm.frames import kept_names, quoted, written
 
 
-def _counted(docs: DataFrame) -> DataFrame:
+@kept_names
+def _counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """n_chars as the text now is."""
     if "n_chars" not in docs.columns:
         return docs
-    n = F.length("text").cast(docs.schema["n_chars"].dataType)
+    n = F.length(quoted(text)).cast(docs.schema["n_chars"].dataType)
     return docs.select(*[n.alias("n_chars") if c == "n_chars" else F.col(quoted(c)) for c in docs.columns])
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import fresh, own, quoted
+from .frames import fresh, kept_names, own, quoted
 from .textops import Words, bounded, suffix_ranks
 
 #: Production parameters: words a phrase, and the fewest words of a shorter item.
@@ -211,6 +211,7 @@ def _spans(text: Column, phrases: dict) -> Column:
     return F.arrow_udf(find, _SPAN).asNondeterministic()(text)
 
 
+@kept_names
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", words: int = WORDS, least: int = LEAST, item: str = "item_id", item_text: str = "text", into: str = "spans") -> DataFrame:
     """docs with one more column: the merged removal spans, null where there are none."""
     pieces = benchmark.select(F.col(quoted(item)).cast("bigint"), F.col(quoted(item_text))).where(F.col(quoted(item_text)).isNotNull() & F.col(quoted(item)).isNotNull())
@@ -236,7 +237,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", words: int
         spans = F.col(found[0])
     else:
         spans = F.arrow_udf(_merge, _SPAN)(*map(F.col, found))
-    return got.select(*own(docs), spans.alias(into))
+    return got.select(*own(docs, into), spans.alias(into))
 
 
 def _merge(*parts: pa.Array) -> pa.Array:
@@ -262,6 +263,7 @@ def without(text: Column, spans: Column) -> Column:
     return F.when(spans.isNull(), text).otherwise(F.array_join(before, ""))
 
 
+@kept_names
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """docs without the passages; their own columns."""
     name = fresh(docs, "spans")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +25,38 @@ def quoted(name: str) -> str:
 
 
 def own(df: DataFrame, *without: str) -> list[Column]:
-    """df's columns as they are, those of the given names left out."""
-    return [F.col(quoted(c)) for c in df.columns if c not in without]
+    """df's columns as they are. Those of the given names, in any case of letters, are left out:
+    a column that an operator adds takes the place of one that has its name."""
+    gone = {c.lower() for c in without}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
+
+
+def kept_names(operator):
+    """For operators whose first argument is a table and whose result begins with its columns:
+    names that occur twice, or that differ only in case, come through. Of equal names the first
+    is the one that parameters mean."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **how) -> DataFrame:
+        names = docs.columns
+        if len({c.lower() for c in names}) == len(names):
+            return operator(docs, *args, **how)
+        bound = signature(operator).bind(docs, *args, **how)
+        bound.apply_defaults()
+        meant = {v for v in bound.arguments.values() if isinstance(v, str)}
+        apart, taken = [], {c.lower() for c in names}
+        for k, c in enumerate(names):
+            exact = c in meant and c not in names[:k]
+            new = c if exact else f"{c}__{k}"
+            while not exact and new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            apart.append(new)
+        got = operator(docs.toDF(*apart), *args, **how)
+        back = dict(zip(apart, names))
+        return got.toDF(*[back.get(c, c) for c in got.columns])
+
+    return run
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import own, quoted
+from .frames import kept_names, own, quoted
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -238,9 +238,10 @@ def text_of(html: Column) -> Column:
     return F.arrow_udf(make, T.StringType()).asNondeterministic()(html)
 
 
+@kept_names
 def extract_pages(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
     """pages with one more column, the text of their content."""
-    return pages.select(*own(pages), text_of(F.col(quoted(html))).alias(into))
+    return pages.select(*own(pages, into), text_of(F.col(quoted(html))).alias(into))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,12 +25,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .frames import checked_broadcast, fresh, own, quoted, written
+from .frames import checked_broadcast, fresh, kept_names, own, quoted, written
 from .textops import Words, bounded, mix, windows
 
 #: Production parameters: words a shingle; Jaccard similarity; bands and hashes a band.
@@ -229,6 +229,7 @@ def _exact_stars(labelled: DataFrame, k: int, threshold: float) -> DataFrame:
     return together.select("id", "group", "text").mapInArrow(test, "a bigint, b bigint")
 
 
+@kept_names
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, batch: int = BATCH, miss: float = MISS) -> DataFrame:
     """(id, group) of every document that has a near copy; group is the least id of its group."""
     spark = docs.sparkSession
@@ -280,22 +281,21 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     return components(first.union(second).union(third).union(copies))
 
 
+@kept_names
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with one document of each group, that with the least id."""
     groups = near_groups(docs, id, text, **how)
-    gone = written(groups.where("id != group").select(F.col("id").alias("__gone")), "gone")
-    cols = own(docs)
-    kept = docs.join(checked_broadcast(gone, gone.count(), BROADCAST_ROWS), F.col(quoted(id)).cast("bigint") == F.col("__gone"), "left_anti")
+    lost, twice, rank = fresh(docs, "lost"), fresh(docs, "twice"), fresh(docs, "rank")
+    key, cols = F.col(quoted(id)).cast("bigint"), own(docs)
+    gone = written(groups.where("id != group").select(F.col("id").alias(lost)), "gone")
+    kept = docs.join(checked_broadcast(gone, gone.count(), BROADCAST_ROWS), key == F.col(lost), "left_anti")
     # rows that share an id; the rest of the table isn't moved
-    again = written(docs.groupBy(F.col(quoted(id)).cast("bigint").alias("__again")).count().where("__again is not null and count > 1").select("__again"), "again")
+    again = written(docs.groupBy(key.alias(twice)).count().where((F.col("count") > 1) & F.col(twice).isNotNull()).select(twice), "again")
     if not (n := again.count()):
         return kept.select(*cols)
-    at = F.col(quoted(id)).cast("bigint") == F.col("__again")
-    few = checked_broadcast(again, n, BROADCAST_ROWS)
-    one, rank = kept.join(few, at, "left_semi"), fresh(docs, "rank")
-    from pyspark.sql import Window
-
-    one = one.withColumn(rank, F.row_number().over(Window.partitionBy(quoted(id)).orderBy(quoted(text)))).where(F.col(rank) == 1).select(*cols)
+    few, at = checked_broadcast(again, n, BROADCAST_ROWS), key == F.col(twice)
+    first = F.row_number().over(Window.partitionBy(quoted(id)).orderBy(F.col(quoted(text)).asc_nulls_last()))
+    one = kept.join(few, at, "left_semi").withColumn(rank, first).where(F.col(rank) == 1).select(*cols)
     return kept.join(few, at, "left_anti").select(*cols).unionByName(one)
 
 

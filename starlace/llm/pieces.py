@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import own, quoted
+from .frames import kept_names, own, quoted
 from .textops import _powers, bounded, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -506,17 +506,20 @@ def decode(ids: Column, vocabulary) -> Column:
     return F.arrow_udf(make, T.StringType())(ids)
 
 
+@kept_names
 def tokenize(docs: DataFrame, text: str = "text", model: str = MODEL, into: str = "piece_ids") -> DataFrame:
     """docs with one more column, the ids of text's pieces."""
     v = docs.sparkSession.sparkContext.broadcast(load(model))
-    return docs.select(*own(docs), encode(F.col(quoted(text)), v).alias(into))
+    return docs.select(*own(docs, into), encode(F.col(quoted(text)), v).alias(into))
 
 
+@kept_names
 def detokenize(docs: DataFrame, ids: str = "piece_ids", model: str = MODEL, into: str = "decoded") -> DataFrame:
     v = docs.sparkSession.sparkContext.broadcast(load(model))
-    return docs.select(*own(docs), decode(F.col(quoted(ids)), v).alias(into))
+    return docs.select(*own(docs, into), decode(F.col(quoted(ids)), v).alias(into))
 
 
+@kept_names
 def encode_decode(docs: DataFrame, text: str = "text", model: str = MODEL, id: str = "doc_id") -> DataFrame:
     """(id, piece_ids, n_pieces, decoded) of each document, in one pass through Python."""
     v = docs.sparkSession.sparkContext.broadcast(load(model))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import fresh, own, quoted
+from .frames import fresh, kept_names, own, quoted
 from .textops import codepoints
 
 KINDS = ("EMAIL", "PHONE", "CARD", "IP", "SECRET", "ACCOUNT")
@@ -382,12 +382,14 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(spans.isNull(), text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), n), part), ""))
 
 
+@kept_names
 def detect(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """docs with one more column, the redactions."""
     detector = docs.sparkSession.sparkContext.broadcast(trained())
-    return docs.select(*own(docs), find(F.col(quoted(text)), detector).alias(into))
+    return docs.select(*own(docs, into), find(F.col(quoted(text)), detector).alias(into))
 
 
+@kept_names
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the redactions made; their own columns."""
     name = fresh(docs, "pii")

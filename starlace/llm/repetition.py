@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import fresh, own
+from .frames import fresh, kept_names, own, quoted
 from .textops import bounded, codepoints, suffix_ranks
 
 #: Production parameters: characters.
@@ -99,17 +99,19 @@ def _judge(min_repeat: int):
     return F.arrow_udf(judge, kind).asNondeterministic()  # else a filter on it would run it twice
 
 
+@kept_names
 def repetition(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT, max_fraction: float = MAX_FRACTION, max_longest: int = MAX_LONGEST, into: str = "rule") -> DataFrame:
     """docs with one more struct column, ``into``: covered, longest, fraction, keep."""
     raw = fresh(docs, "repeats")
-    got = docs.withColumn(raw, _judge(min_repeat)(F.col(text)))
-    n = F.greatest(F.coalesce(F.length(F.col(text)), F.lit(0)), F.lit(1))
+    got = docs.withColumn(raw, _judge(min_repeat)(F.col(quoted(text))))
+    n = F.greatest(F.coalesce(F.length(F.col(quoted(text))), F.lit(0)), F.lit(1))
     covered, longest = F.col(f"{raw}.covered"), F.col(f"{raw}.longest")
     fraction = F.round(covered / n, 6)
     keep = (fraction <= max_fraction) & (longest <= max_longest)
-    return got.select(*own(docs), F.struct(covered.alias("covered"), longest.alias("longest"), fraction.alias("fraction"), keep.alias("keep")).alias(into))
+    return got.select(*own(docs, into), F.struct(covered.alias("covered"), longest.alias("longest"), fraction.alias("fraction"), keep.alias("keep")).alias(into))
 
 
+@kept_names
 def filter_repetitive(docs: DataFrame, text: str = "text", **rules) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     rule = fresh(docs, "rule")
