@@ -71,8 +71,8 @@ def _open(path: str, write: bool = False):
     fs, name = pafs.FileSystem.from_uri(path)
     if write:
         fs.create_dir(name.rpartition("/")[0], recursive=True)
-        return fs.open_output_stream(name)
-    return fs.open_input_stream(name)
+        return fs.open_output_stream(name, compression=None)  # else the name's ending decides
+    return fs.open_input_stream(name, compression=None)
 
 
 def write_archive(path: str, records: Iterator[bytes], samples: list[bytes], level: int = LEVEL, dictionary: int = DICTIONARY) -> int:
