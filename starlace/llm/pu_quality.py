@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import own, quoted, written
+from .frames import kept_names, own, quoted, written
 from .textops import Words, bounded
 
 #: Production parameters: the bounds of the sample, steps of descent, and the least score kept.
@@ -95,18 +95,20 @@ def features(texts: list[str]) -> np.ndarray:
             run = w.hash[:-2] * np.uint64(3) + w.hash[1:-1] * np.uint64(5) + w.hash[2:] * np.uint64(7)
         at = w.doc[:-2] == w.doc[2:]
         run, of = run[at], w.doc[:-2][at]
-    runs = np.maximum(1, np.bincount(of, minlength=len(texts))) if len(run) else np.ones(len(texts))
-    fresh_runs = distinct(run, of) if len(run) else np.ones(len(texts))
+    runs = np.bincount(of, minlength=len(texts)) if len(run) else np.zeros(len(texts))
+    again = (runs - distinct(run, of)) / np.maximum(1, runs) if len(run) else np.zeros(len(texts))
     symbol = (bits >> 5) & 1
     both = np.zeros(len(w.cp), bool)
     same = np.zeros(len(w.cp), bool)
     if len(w.cp) > 1:
         both[1:] = symbol[1:].astype(bool) & ((bits[:-1] & 1) > 0)
         same[1:] = (w.cp[1:] == w.cp[:-1]) & (symbol[1:] > 0)
+        begin = w.base[:-1][w.base[:-1] < len(w.cp)]
+        both[begin] = same[begin] = False  # what stands before a text isn't its own
     cols = [
         np.log1p(np.diff(w.base)), share[0] / n, share[1] / n, share[2] / n, share[3] / n, share[4] / n, share[5] / n, share[6] / n, share[7] / n, share[8] / n,
         np.log1p(np.diff(w.first)), per_words(size) / words, per_words(size <= 3) / words, per_words(size >= 15) / words, per_words(loud) / words,
-        distinct(w.hash, w.doc) / words, 1 - fresh_runs / runs, np.log1p(words / (1 + share[4])), np.log1p(n / (1 + share[6])), per_text(both) / words, per_text(same) / n, (share[5] > 0) + 0.0,
+        distinct(w.hash, w.doc) / words, again, np.log1p(words / (1 + share[4])), np.log1p(n / (1 + share[6])), per_text(both) / words, per_text(same) / n, (share[5] > 0) + 0.0,
     ]
     return np.stack(cols, 1)
 
@@ -215,8 +217,12 @@ def _margins(column, model: Linear) -> np.ndarray:
 
 
 def _sampled(x: DataFrame, limit: int) -> np.ndarray:
-    got = x.orderBy(F.xxhash64("id"), "id").limit(limit).select("x").toArrow()["x"].combine_chunks()
-    return _rows(got)
+    """The rows whose ids have the smallest hashes; about twice as many as are wanted are sorted."""
+    n, h = x.count(), F.xxhash64("id")
+    low = x.where(h < -(1 << 63) + int((1 << 64) * min(1.0, 2 * limit / n))) if n > 4 * limit else x
+    if n > 4 * limit and low.count() < limit:  # many rows share an id
+        low = x
+    return _rows(low.orderBy(h, "id", "x").limit(limit).select("x").toArrow()["x"].combine_chunks())
 
 
 @dataclass
@@ -238,12 +244,13 @@ def fit(x: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "quali
     return Quality(prior, non_negative(xp, xu, prior, steps))
 
 
+@kept_names
 def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", keep: float = KEEP, into: str = "quality_score", into_keep: str = "keep", **how) -> DataFrame:
     """docs with two more columns: the score, and whether it is enough."""
     made = written(docs.select(F.col(quoted(id)).cast("bigint").alias("id"), _features(F.coalesce(F.col(quoted(text)), F.lit(""))).alias("x")), "features")
     got = fit(made, labels, id, **how)
     if got is None:
-        return docs.select(*own(docs), F.lit(None).cast("double").alias(into), F.lit(True).alias(into_keep))
+        return docs.select(*own(docs, into, into_keep), F.lit(None).cast("double").alias(into), F.lit(True).alias(into_keep))
     model = docs.sparkSession.sparkContext.broadcast(got.model)
 
     def rate(texts: pa.Array) -> pa.Array:
@@ -252,21 +259,22 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
         return pa.array(np.round(_sigmoid(np.concatenate(z) if z else np.empty(0)), 6))
 
     s = F.arrow_udf(rate, T.DoubleType()).asNondeterministic()(F.coalesce(F.col(quoted(text)), F.lit("")))
-    return docs.select(*own(docs), s.alias(into)).withColumn(into_keep, F.col(quoted(into)) >= keep)
+    return docs.select(*own(docs, into, into_keep), s.alias(into)).withColumn(into_keep, F.col(quoted(into)) >= keep)
 
 
+@kept_names
 def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", keep: float = KEEP, **how) -> DataFrame:
     """(id, score, keep) only: features are made once and serve the fit and the scores."""
-    made = written(docs.select(F.col(quoted(id)).alias(id), F.col(quoted(id)).cast("bigint").alias("id"), _features(F.coalesce(F.col(quoted(text)), F.lit(""))).alias("x")), "features")
-    got = fit(made.select("id", "x"), labels, id, **how)
+    made = written(docs.select(F.col(quoted(id)).cast("bigint").alias("id"), _features(F.coalesce(F.col(quoted(text)), F.lit(""))).alias("x")), "features")
+    got = fit(made, labels, id, **how)
     if got is None:
-        return made.select(id, F.lit(None).cast("double").alias("score"), F.lit(True).alias("keep"))
+        return made.select(F.col("id").alias(id), F.lit(None).cast("double").alias("score"), F.lit(True).alias("keep"))
     model = docs.sparkSession.sparkContext.broadcast(got.model)
 
     def rate(x: pa.Array) -> pa.Array:
         return pa.array(np.round(_sigmoid(_margins(x, model.value)), 6))
 
-    return made.select(id, F.arrow_udf(rate, T.DoubleType()).asNondeterministic()("x").alias("score")).withColumn("keep", F.col("score") >= keep)
+    return made.select(F.col("id").alias(id), F.arrow_udf(rate, T.DoubleType()).asNondeterministic()("x").alias("score")).withColumn("keep", F.col("score") >= keep)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
