@@ -31,14 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import own, quoted, written
+from .frames import kept_names, own, quoted, written
 from .textops import Words, bounded
 
 #: Production parameters.
 VOCABULARY, BUCKETS, CLASSES, PASSES, PRIOR, ADD = 65_536, 4_096, 64, 4, 50.0, 0.5
 _BLOCK = 1_000_000
-#: Counted keys that a task holds before it hands them on, and pairs in a part.
-_HOLD, _PART = 3_000_000, 1_000_000
+#: Counted keys that a task holds before it hands them on; words of text, and the most parts, of a count.
+_HOLD, _SHARE, _PARTS = 1_500_000, 600_000, 4_096
 
 
 class _Counter:
@@ -56,40 +56,119 @@ class _Counter:
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        k, n = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(k)
-        k, n = k[order], n[order]
-        cut = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
-        self.keys, self.counts = [k[cut]], [np.add.reduceat(n, cut) if len(cut) else n]
-        self.size = len(cut)
-        return self.keys[0], self.counts[0]
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        k, n = _summed(np.concatenate(self.keys), np.concatenate(self.counts))
+        self.keys, self.counts, self.size = [k], [n], len(k)
+        return k, n
 
 
-def _counted(text: DataFrame, keys, name: str) -> DataFrame:
-    """text: one string column. (name, n): counts of the 64-bit keys that keys(texts) gives."""
+def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys and their counts: steps between keys, byte by byte place, compressed."""
+    import zstandard
+
+    steps = np.diff(keys, prepend=np.uint64(0))
+    planes = [x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (steps, counts)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    steps, counts = (np.ascontiguousarray(x.reshape(8, -1).T).view("<u8").ravel() for x in np.split(raw, 2))
+    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    k, n = keys[order], counts[order]
+    cut = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
+    return k[cut], np.add.reduceat(n, cut) if len(cut) else n
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter()
 
-        def hand_on():
-            nonlocal counter
-            k, n = counter.merged()
-            counter = _Counter()
-            for lo in range(0, len(k), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + 200_000]), pa.array(n[lo : lo + 200_000])], [name, "n"])
+def _dealt(keys: np.ndarray, counts: np.ndarray, part: np.ndarray, side: int) -> Iterator[pa.RecordBatch]:
+    """A row for each part that has keys; keys ascend within a part."""
+    if not len(keys):
+        return
+    order = np.argsort(part, kind="stable")
+    part, keys, counts = part[order], keys[order], counts[order]
+    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    stop = np.append(cut[1:], len(part))
+    blobs = [_pack(keys[a:b], counts[a:b]) for a, b in zip(cut, stop)]
+    yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(np.full(len(cut), side, np.int32)), pa.array(blobs, pa.binary())], ["part", "side", "blob"])
 
+
+_ROW = "part int, side int, blob binary"
+
+
+def _by_part(rows: DataFrame, parts: int, each, kind: str) -> DataFrame:
+    """each(part, [(side, blob)]) for every part, all of whose rows come together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, some = None, []
+        for batch in batches:
+            for part, side, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "side", "blob"))):
+                if part != now:
+                    if some:
+                        yield from each(now, some)
+                    now, some = part, []
+                some.append((side, blob))
+        if some:
+            yield from each(now, some)
+
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, kind)
+
+
+def _counts(text: DataFrame, keys, part_of) -> DataFrame:
+    """text: one string column. Rows of packed counts of the keys that keys(texts) gives, by part."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Counter()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for _, some in bounded(range(len(texts)), texts, _BLOCK):
                 counter.add(keys(some))
                 if counter.size > _HOLD:
-                    counter.merged()
+                    k, n = counter.merged()
                     if counter.size > _HOLD // 2:
-                        yield from hand_on()
-        yield from hand_on()
+                        yield from _dealt(k, n, part_of(k), 0)
+                        counter = _Counter()
+        k, n = counter.merged()
+        yield from _dealt(k, n, part_of(k), 0)
+
+    return text.mapInArrow(count, _ROW)
+
+
+def _merged(some: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    held = [_unpack(blob) for _, blob in some]
+    return _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+
+
+def _word_counts(text: DataFrame, parts: int) -> DataFrame:
+    """(h, n): how often each word stands in the corpus."""
+
+    def out(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        k, n = _merged(some)
+        for lo in range(0, len(k), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + 100_000].view(np.int64)), pa.array(n[lo : lo + 100_000])], ["h", "n"])
+
+    return _by_part(_counts(text, lambda some: Words(some).hash, lambda k: (k % np.uint64(parts)).astype(np.int64)), parts, out, "h bigint, n bigint")
 
-    return text.mapInArrow(count, f"{name} bigint, n bigint").groupBy(name).agg(F.sum("n").alias("n"))
+
+def _pair_counts(text: DataFrame, symbols, parts: int) -> DataFrame:
+    """A row for each part of the words: the counts of all pairs whose first word it has."""
+
+    def keys(some: list[str]) -> np.ndarray:
+        before, now = symbols.value.sequence(Words(some))
+        return (before * (symbols.value.boundary + 1) + now).astype(np.uint64)
+
+    def part_of(k: np.ndarray) -> np.ndarray:
+        return (k // np.uint64(symbols.value.boundary + 1) % np.uint64(parts)).astype(np.int64)
+
+    def out(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([_pack(*_merged(some))], pa.binary())], ["part", "side", "blob"])
+
+    return _by_part(_counts(text, keys, part_of), parts, out, _ROW)
 
 
 @dataclass
@@ -169,24 +248,32 @@ def exchange(words: np.ndarray, profile: np.ndarray, selves: np.ndarray, label:
     return label
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, ...]:
+def _arrays(row: dict) -> tuple[np.ndarray, ...]:
     return np.frombuffer(row["word"], np.int32), np.frombuffer(row["other"], np.int32), np.frombuffer(row["side"], np.int8), np.frombuffer(row["n"], np.int64)
 
 
-def _parts(pairs: DataFrame, parts: int) -> DataFrame:
-    """All that follows and precedes a word in one row of packed arrays, for each part of the words."""
+def _parts(pairs: DataFrame, size: int, parts: int) -> DataFrame:
+    """All that follows (side 0) and precedes (side 1) a word in one row of arrays, for each part of the words."""
+    width = np.uint64(size)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            for blob in batch.column("blob").to_pylist():
+                k, n = _unpack(blob)
+                turned = k % width * width + k // width
+                order = np.argsort(turned)
+                turned, n = turned[order], n[order]
+                yield from _dealt(turned, n, (turned // width % np.uint64(parts)).astype(np.int64), 1)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = list(batches)
-        if sum(b.num_rows for b in some):
-            cat = lambda c, kind: pa.chunked_array([b.column(c) for b in some]).to_numpy().astype(kind).tobytes()
-            yield pa.RecordBatch.from_pylist([{"word": cat("word", np.int32), "other": cat("other", np.int32), "side": cat("side", np.int8), "n": cat("n", np.int64)}])
+    def out(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        held = [(side, *_unpack(blob)) for side, blob in some]
+        k, n = np.concatenate([k for _, k, _ in held]), np.concatenate([n for _, _, n in held])
+        side = np.repeat(np.array([s for s, _, _ in held], np.int8), [len(k) for _, k, _ in held])
+        row = {"word": (k // width).astype(np.int32).tobytes(), "other": (k % width).astype(np.int32).tobytes(), "side": side.tobytes(), "n": n.tobytes()}
+        yield pa.RecordBatch.from_pylist([row])
 
-    both = pairs.select(F.explode(F.array(
-        F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.lit(0).alias("side"), "n"),
-        F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.lit(1).alias("side"), "n"),
-    )).alias("x")).select("x.*")
-    return both.repartition(parts, "word").mapInArrow(pack, "word binary, other binary, side binary, n binary")
+    return _by_part(pairs.mapInArrow(both, _ROW), parts, out, "word binary, other binary, side binary, n binary")
 
 
 def _matrix(parts: DataFrame, label, classes: int) -> np.ndarray:
@@ -197,7 +284,7 @@ def _matrix(parts: DataFrame, label, classes: int) -> np.ndarray:
         of, total = label.value, np.zeros(width * width)
         for batch in batches:
             for row in batch.to_pylist():
-                word, other, side, n = _unpack(row)
+                word, other, side, n = _arrays(row)
                 f = side == 0
                 total += np.bincount(of[word[f]].astype(np.int64) * width + of[other[f]], n[f], width * width)
         cell = np.flatnonzero(total)
@@ -216,7 +303,7 @@ def _pass(parts: DataFrame, label, m, classes: int) -> tuple[np.ndarray, np.ndar
         of = label.value
         for batch in batches:
             for row in batch.to_pylist():
-                word, other, side, n = _unpack(row)
+                word, other, side, n = _arrays(row)
                 words, at = np.unique(word, return_inverse=True)
                 profile = np.bincount((at * 2 + side) * width + of[other], n, len(words) * 2 * width).reshape(-1, 2, width)
                 me = (word == other) & (side == 0)
@@ -254,7 +341,8 @@ def train(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, buc
     spark = docs.sparkSession
     sc = spark.sparkContext
     texts = docs.select(F.col(quoted(text)).alias("text"))
-    words = written(_counted(texts, lambda some: Words(some).hash.view(np.int64), "h"), "words")
+    width = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = written(_word_counts(texts, width), "words")
     top = words.orderBy(F.desc("n"), "h").limit(vocabulary).toArrow()
     h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(h)
@@ -273,13 +361,9 @@ def train(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, buc
 
     known = sc.broadcast(symbols)
 
-    def pair_keys(some: list[str]) -> np.ndarray:
-        before, now = known.value.sequence(Words(some))
-        return before * (known.value.boundary + 1) + now
-
-    pairs = _counted(texts, pair_keys, "key").select(F.expr(f"int(key div {size + 1})").alias("a"), (F.col("key") % (size + 1)).cast("int").alias("b"), "n")
-    pairs = written(pairs, "pairs")
-    parts = written(_parts(pairs, max(4, -(-2 * pairs.count() // _PART))), "parts")
+    share = int(min(_PARTS, max(4, -(-counts.sum() // _SHARE))))
+    pairs = written(_pair_counts(texts, known, share), "pairs")
+    parts = written(_parts(pairs, size + 1, share), "parts")
 
     # frequent symbols first, one to each class in turn
     label = np.empty(size + 1, np.int16)
@@ -329,10 +413,11 @@ def score(text: Column, model) -> Column:
     return F.arrow_udf(make, _SCORE).asNondeterministic()(text)
 
 
+@kept_names
 def perplexity(docs: DataFrame, text: str = "text", model: Model | None = None, into: str = "lm", **how) -> DataFrame:
     """docs with one more struct column: n_words, log_prob, perplexity; by a model of docs itself unless one is given."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, text, **how))
-    got = docs.select(*own(docs), score(F.col(quoted(text)), shared).alias(into))
+    got = docs.select(*own(docs, into), score(F.col(quoted(text)), shared).alias(into))
     s = F.col(quoted(into))
     return got.withColumn(into, F.struct(s["n_words"].alias("n_words"), s["log_prob"].alias("log_prob"), F.when(s["n_words"] > 0, F.exp(-s["log_prob"] / s["n_words"])).alias("perplexity")))
 
