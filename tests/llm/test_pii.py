@@ -1,0 +1,50 @@
+import numpy as np
+
+from starlace.llm.pii import KINDS, _luhn, _sample, candidates, detect, redact, trained
+
+
+def test_held_out_accuracy():
+    d = trained()
+    x, y, kinds = _sample(3000, 77)
+    p = 1 / (1 + np.exp(-(d.slope * d.trees.score(x) + d.offset)))
+    said = p >= np.array([d.threshold[k] for k in kinds])
+    for k in KINDS:
+        at = np.array(kinds) == k
+        assert y[at & said].mean() > 0.97 and said[at & (y == 1)].mean() > 0.95, k
+
+
+def test_generators_overlap():
+    some = candidates("call +1 (826) 555-4081 190.137.223.204 now")
+    assert (5, 22, "PHONE") in some and (23, 38, "IP") in some and len(some) > 2
+
+
+def test_spans():
+    d = trained()
+    card = "4539578763621486"
+    wrong = card[:-1] + "7"
+    assert _luhn(card) and not _luhn(wrong)
+    texts = [
+        f"mail hein.19@mail5.example.com, tel +1 (310) 555-4510. host 192.168.0.12", f"card {card} order {wrong}", "Apache License, version 2.0. CC BY-NC 4.0. 1990-2024", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "", "no digits at all",
+        f"{wrong} {card}",
+    ]
+    got = [[(t[a:b], k) for a, b, k in s] for t, s in zip(texts, d.spans(texts))]
+    assert got[0] == [("hein.19@mail5.example.com", "EMAIL"), ("+1 (310) 555-4510", "PHONE"), ("192.168.0.12", "IP")]
+    assert got[1] == [(card, "CARD")] and got[2] == [] and got[4] == [] and got[5] == [] and got[6] == [(card, "CARD")]
+    assert got[3] == [("24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "SECRET")]
+
+
+def test_windows_change_nothing():
+    """A candidate far inside a long text is found where it is."""
+    text = "é word " * 5000 + "a.b@example.org" + " word" * 5000 + " 4539578763621486"
+    (got,) = trained().spans([text])
+    assert [text[a:b] for a, b, _ in got] == ["a.b@example.org", "4539578763621486"]
+
+
+def test_table(spark, odd, none, clashing):
+    got = redact(odd)
+    assert got.columns == odd.columns and got.count() == odd.count()
+    assert got.where("doc_id = 7").first().text == "Une phrase toute différente, avec un mail [EMAIL] ici."
+    assert got.where("text IS NULL").count() == 2 and got.where("doc_id = 1").count() == 2
+    assert redact(none).count() == 0 and redact(clashing).columns == clashing.columns
+    two = spark.createDataFrame([(1, "a@example.com b@example.com")], "doc_id long, text string")
+    assert redact(two).first().text == "[EMAIL] [EMAIL]" and len(detect(two).first().pii) == 2
