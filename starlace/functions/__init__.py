@@ -1 +1 @@
-"""Graph pattern matching over labelled graphs, and a training-data pipeline, on Spark DataFrames."""
+"""Constraints as Spark columns."""

@@ -27,7 +27,7 @@ COUNT = "decimal(38,0)"
 
 def images(g: Graph, p: Pattern, root: int, n: int, name: str, single: bool = False) -> DataFrame:
     """(u<root>, name): the sorted images of n at each image of the root."""
-    return pair(g, p, root, n, single).groupBy(u(root)).agg(F.array_sort(F.collect_set(u(n))).alias(name))
+    return pair(g, p, root, n, single, root).groupBy(u(root)).agg(F.array_sort(F.collect_set(u(n))).alias(name))
 
 
 def star(g: Graph, pattern, root: int, semantics: str = "homomorphism") -> DataFrame:
@@ -132,7 +132,7 @@ def component(g: Graph, p: Pattern, roots: list[int], counting: bool, compat: bo
             key = (r, leaf(p, r, n), alone)
             if key not in made:
                 name = made[key] = f"{'size' if alone else 'img'}_{r}_{n}"
-                side = pair(g, p, r, n, single).groupBy(u(r)).agg(F.count("*").alias(name)) if alone else images(g, p, r, n, name, single)
+                side = pair(g, p, r, n, single, r).groupBy(u(r)).agg(F.count("*").alias(name)) if alone else images(g, p, r, n, name, single)
                 side = side.hint(hint) if hint else side
                 df = side if df is None else df.join(side, u(r))
             names.append(made[key])

@@ -1 +1 @@
-"""Graph pattern matching over labelled graphs, and a training-data pipeline, on Spark DataFrames."""
+"""The engine is batch only, as its data model is: a graph is read, matched and done with. Users who hold an edge stream can call Graph.count in foreachBatch."""
