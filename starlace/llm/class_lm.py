@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import kept_names, own, quoted, written
-from .textops import Words, bounded
+from .textops import Words, bounded, lazily
 
 #: Production parameters.
 VOCABULARY, BUCKETS, CLASSES, PASSES, PRIOR, ADD = 65_536, 4_096, 64, 4, 50.0, 0.5
@@ -125,8 +125,7 @@ def _counts(text: DataFrame, keys, part_of) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for _, some in bounded(range(len(texts)), texts, _BLOCK):
+            for _, some in bounded(range(batch.num_rows), lazily(batch.column(0)), _BLOCK):
                 counter.add(keys(some))
                 if counter.size > _HOLD:
                     k, n = counter.merged()
@@ -402,9 +401,8 @@ def score(text: Column, model) -> Column:
     """Struct of words and log probability. model: a broadcast of one."""
 
     def make(texts: pa.Array) -> pa.Array:
-        values = texts.to_pylist()
         n, p = [np.empty(0, np.int64)], [np.empty(0)]
-        for _, some in bounded(range(len(values)), values, _BLOCK):
+        for _, some in bounded(range(len(texts)), lazily(texts), _BLOCK):
             a, b = model.value.score(some)
             n.append(a)
             p.append(b)

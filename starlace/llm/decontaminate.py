@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import fresh, kept_names, own, quoted
-from .textops import Words, bounded, suffix_ranks
+from .textops import Words, bounded, lazily, suffix_ranks
 
 #: Production parameters: words a phrase, and the fewest words of a shorter item.
 WORDS, LEAST = 8, 5
 #: Characters a shard; text positions for each sampled one.
-SHARD, SAMPLE = 4_000_000, 32
+SHARD, SAMPLE = 2_000_000, 32
 #: Phrases searched in one pass over the shards (64 bytes each); more are searched in several.
 PHRASES = 1_000_000
 
@@ -204,7 +204,7 @@ def _spans(text: Column, phrases: dict) -> Column:
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows: list = []
-            for _, some in bounded(range(len(texts)), texts.to_pylist(), SHARD):
+            for _, some in bounded(range(len(texts)), lazily(texts), SHARD):
                 rows += [[dict(zip(names, s)) for s in spans] or None for spans in shard_spans(some, phrases)]
             yield pa.array(rows, _PA_SPAN)
 

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .frames import checked_broadcast, fresh, kept_names, own, quoted, written
-from .textops import Words, bounded, mix, windows
+from .textops import Words, bounded, lazily, mix, windows
 
 #: Production parameters: words a shingle; Jaccard similarity; bands and hashes a band.
 SHINGLE, THRESHOLD, BANDS, ROWS = 3, 0.5, 40, 4
@@ -100,7 +100,7 @@ def sketch(text: Column, k: int = SHINGLE, hashes: int = BANDS * ROWS) -> Column
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows: list = []
-            for _, some in bounded(range(len(texts)), texts.to_pylist(), _BLOCK):
+            for _, some in bounded(range(len(texts)), lazily(texts), _BLOCK):
                 h, first = shingles(some, k)
                 n = np.diff(first)
                 full = np.flatnonzero(n)
@@ -210,7 +210,7 @@ def _exact_stars(labelled: DataFrame, k: int, threshold: float) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, its = None, np.empty(0, np.uint64)
         for batch in batches:
-            ids, groups, texts = batch.column("id").to_pylist(), batch.column("group").to_pylist(), batch.column("text").to_pylist()
+            ids, groups, texts = batch.column("id").to_pylist(), batch.column("group").to_pylist(), lazily(batch.column("text"))
             a, b = [], []
             done = 0
             for _, some in bounded(ids, texts, _BLOCK):

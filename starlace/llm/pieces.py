@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import kept_names, own, quoted
-from .textops import _powers, bounded, mix
+from .textops import _powers, bounded, lazily, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters a block; distinct segments that a worker remembers.
-BLOCK, REMEMBER = 2_000_000, 1_000_000
+BLOCK, REMEMBER = 1_000_000, 500_000
 
 
 class Vocabulary:
@@ -234,7 +234,7 @@ class Vocabulary:
         cuts = np.flatnonzero(np.append(True, np.diff(filled[order]) > 0)) if len(order) else np.empty(0, np.int64)
         for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
             length = int(filled[order[lo]])
-            step = max(1, 2_000_000 // (length + 1))
+            step = max(1, 1_000_000 // (length + 1))
             for k in range(lo, hi, step):
                 rows = order[k : min(hi, k + step)]
                 codes = np.zeros((len(rows), length), self.code.dtype)
@@ -478,16 +478,15 @@ def encode(text: Column, vocabulary) -> Column:
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _held(Encoder, vocabulary.value)
         for texts in batches:
-            values = texts.to_pylist()
             parts, firsts, n = [], [np.zeros(1, np.int64)], 0
-            for _, some in bounded(range(len(values)), values, BLOCK):
+            for _, some in bounded(range(len(texts)), lazily(texts), BLOCK):
                 ids, first = encoder.encode(some)
                 parts.append(ids)
                 firsts.append(first[1:] + n)
                 n += len(ids)
             first = np.concatenate(firsts).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            mask = np.array([t is None for t in values], bool)
+            mask = texts.is_null().to_numpy(zero_copy_only=False)
             yield pa.ListArray.from_arrays(pa.array(first), pa.array(flat, pa.int32()), mask=pa.array(mask) if mask.any() else None)
 
     return F.arrow_udf(make, T.ArrayType(T.IntegerType())).asNondeterministic()(text)
@@ -529,7 +528,7 @@ def encode_decode(docs: DataFrame, text: str = "text", model: str = MODEL, id: s
         for batch in batches:
             at = 0
             texts = batch.column(1)
-            for some, values in bounded(range(batch.num_rows), texts.to_pylist(), BLOCK):
+            for some, values in bounded(range(batch.num_rows), lazily(texts), BLOCK):
                 ids, first = encoder.encode(values)
                 valid = texts.slice(at, len(some)).is_valid()
                 mask = None if texts.null_count == 0 else pa.compute.invert(valid)

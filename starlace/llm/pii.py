@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import fresh, kept_names, own, quoted
-from .textops import codepoints
+from .textops import bounded, codepoints, lazily
 
 KINDS = ("EMAIL", "PHONE", "CARD", "IP", "SECRET", "ACCOUNT")
 #: Production parameters: made-up candidates, trees, depth, shrinkage, and the wanted precision.
 TRAINING, TREES, DEPTH, SHRINK, PRECISION = 24_000, 60, 4, 0.2, 0.99
+_BLOCK = 1_000_000
 _GENERATORS = (
     ("EMAIL", re.compile(r"[A-Za-z0-9._%+'-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*", re.A)),
     ("PHONE", re.compile(r"(?<![\w.])(?:\+|\()?\d(?:[ \t().\-/]{0,3}\d){6,16}(?!\w)")),
@@ -365,10 +366,9 @@ def find(text: Column, detector) -> Column:
     """Redactions of a text; null where there are none. detector: a broadcast of one."""
 
     def make(texts: pa.Array) -> pa.Array:
-        values = [t or "" for t in texts.to_pylist()]
         rows: list = []
-        for lo in range(0, len(values), 500):
-            rows += [[{"start": a, "stop": b, "kind": k} for a, b, k in spans] or None for spans in detector.value.spans(values[lo : lo + 500])]
+        for _, some in bounded(range(len(texts)), lazily(texts), _BLOCK):
+            rows += [[{"start": a, "stop": b, "kind": k} for a, b, k in spans] or None for spans in detector.value.spans(some)]
         return pa.array(rows, _PA)
 
     return F.arrow_udf(make, _SPANS).asNondeterministic()(text)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import kept_names, own, quoted, written
-from .textops import Words, bounded
+from .textops import Words, bounded, lazily
 
 #: Production parameters: the bounds of the sample, steps of descent, and the least score kept.
 POSITIVES, UNLABELLED, STEPS, KEEP = 20_000, 40_000, 400, 0.5
@@ -115,8 +115,7 @@ def features(texts: list[str]) -> np.ndarray:
 
 def _features(text: Column) -> Column:
     def make(texts: pa.Array) -> pa.Array:
-        values = texts.to_pylist()
-        rows = [features(some) for _, some in bounded(range(len(values)), values, _BLOCK)]
+        rows = [features(some) for _, some in bounded(range(len(texts)), lazily(texts), _BLOCK)]
         x = np.concatenate(rows) if rows else np.empty((0, len(NAMES)))
         return pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(NAMES), dtype=np.int32), x.astype(np.float32).ravel())
 
@@ -254,8 +253,7 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     model = docs.sparkSession.sparkContext.broadcast(got.model)
 
     def rate(texts: pa.Array) -> pa.Array:
-        values = texts.to_pylist()
-        z = [model.value.margin(features(some)) for _, some in bounded(range(len(values)), values, _BLOCK)]
+        z = [model.value.margin(features(some)) for _, some in bounded(range(len(texts)), lazily(texts), _BLOCK)]
         return pa.array(np.round(_sigmoid(np.concatenate(z) if z else np.empty(0)), 6))
 
     s = F.arrow_udf(rate, T.DoubleType()).asNondeterministic()(F.coalesce(F.col(quoted(text)), F.lit("")))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import fresh, kept_names, own, quoted
-from .textops import bounded, codepoints, suffix_ranks
+from .textops import bounded, codepoints, lazily, suffix_ranks
 
 #: Production parameters: characters.
 MIN_REPEAT, MAX_FRACTION, MAX_LONGEST = 50, 0.3, 1000
@@ -88,7 +88,7 @@ def _judge(min_repeat: int):
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             c, g = [], []
-            for _, some in bounded(range(len(texts)), texts.to_pylist(), BLOCK):
+            for _, some in bounded(range(len(texts)), lazily(texts), BLOCK):
                 covered, longest = repeats(some, min_repeat)
                 c.append(covered)
                 g.append(longest)

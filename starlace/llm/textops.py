@@ -7,10 +7,12 @@ are computed by array arithmetic, never by a loop over characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -128,6 +130,27 @@ def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[at]), at
 
 
+def lazily(column) -> Iterator:
+    """The values of an Arrow column, made a few at a time."""
+    for k in range(0, len(column), 256):
+        yield from column.slice(k, 256).to_pylist()
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def release() -> None:
+    """Gives freed memory back: workers stay alive between tasks, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def bounded(ids: Iterable, texts: Iterable[str | None], limit: int) -> Iterator[tuple[list, list[str]]]:
     """Runs of whole texts with about ``limit`` code points; a longer text comes alone. Null is ''."""
     some: tuple[list, list[str]] = ([], [])
@@ -142,6 +165,8 @@ def bounded(ids: Iterable, texts: Iterable[str | None], limit: int) -> Iterator[
         size += len(t)
     if some[0]:
         yield some
+    some = ([], [])
+    release()
 
 
 def _pack(hi: np.ndarray, lo: np.ndarray, n: int) -> np.ndarray | None:
