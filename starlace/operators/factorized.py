@@ -1,8 +1,8 @@
 """Factorized matching: root tuples with a sorted array of images, or just their number, for each class of leaves.
 
 Roots are joined flat (there are few of them); a leaf hangs on its roots. A leaf of one root
-needs no array to be counted, only a grouped count. A leaf of several roots is the intersection
-of their images. The count is the sum, over root tuples, of the product of class sizes, each to
+needs no array to be counted, only a grouped count. A leaf of several roots
+is met from one of them and checked against the others, tuple by tuple, and grouped again. The count is the sum, over root tuples, of the product of class sizes, each to
 the power of the class's number of leaves: nothing is enumerated.
 """
 
@@ -18,8 +18,8 @@ from ..plans.ast import Expr
 from ..plans.pattern import Pattern
 from ..plans.planner import leaf, leaf_classes
 from ..sources.graph import Graph
-from .flat import Pending
-from .pairs import pair, u, vertex_scan
+from .flat import Pending, joined
+from .pairs import all_of, pair, u, vertex_scan
 
 #: Counts of matches: far beyond 64 bits before they overflow.
 COUNT = "decimal(38,0)"
@@ -68,29 +68,26 @@ def can(p: Pattern, roots: list[int]) -> bool:
     return all(len(e.vertices() - set(roots)) <= 1 for e in _outer(p))
 
 
-def root_tuples(g: Graph, p: Pattern, roots: list[int], pending: Pending, compat: bool, single: bool, hint: str | None) -> DataFrame:
-    """(u<root>, ...) of all roots, joined over the pairs among them."""
+def root_tuples(g: Graph, p: Pattern, roots: list[int], pending: Pending, compat: bool, single: bool, hint: str | None) -> DataFrame | None:
+    """(u<root>, ...) of all roots; none for a lone root, which its leaves' relations hold."""
+    if not compat:
+        return joined(g, p, set(roots), pending, hint)
     df, bound = None, set()
     for r in roots:
-        # a pair relation says all that a scan would; only compat asks more of a root
-        own = roots_scan(g, p, r, True, single) if compat else None
-        if own is not None:
-            for n, *_ in star_classes(p, r):
-                own = own.join(pair(g, p, r, n, single).select(u(r)).distinct(), u(r), "left_semi")
+        own = roots_scan(g, p, r, True, single)
+        for n, *_ in star_classes(p, r):
+            own = own.join(pair(g, p, r, n, single).select(u(r)).distinct(), u(r), "left_semi")
         near = [o for o in roots if o in bound and (o, r) in p.pairs]
         if df is None:
             df = own
         elif not near:
             df = df.crossJoin(own)
-        for o in near:
-            step = pair(g, p, o, r, single)
-            df = step if df is None else df.join(step.hint(hint) if hint else step, [u(x) for x in (o, r) if x in bound])
-            bound |= {o, r}
-        if near and own is not None:
+        else:
+            for o in near:  # an edge is tested from the earlier root
+                step = pair(g, p, o, r, single)
+                df = df.join(step.hint(hint) if hint else step, [u(x) for x in (o, r) if x in bound or o != near[0]])
             df = df.join(own, u(r), "left_semi")
         bound.add(r)
-        if df is not None:
-            df = pending.apply(df, bound)
     return df
 
 
@@ -104,14 +101,6 @@ def classes(p: Pattern, roots: list[int]) -> list[list[int]]:
     return sorted(out)
 
 
-def _meet(some: list[Column]) -> Column:
-    return reduce(F.array_intersect, some)
-
-
-def _test(e: Expr, n: int):
-    return lambda x: to_column(e, lambda k: x if k == n else F.col(u(k)))
-
-
 def component(g: Graph, p: Pattern, roots: list[int], counting: bool, compat: bool = False, single: bool = False, hint: str | None = None) -> tuple[DataFrame, list[tuple[list[int], Column]]]:
     """Root tuples, and for each leaf class its leaves and its size (counting) or its images."""
     outer = [] if compat else _outer(p)
@@ -120,30 +109,37 @@ def component(g: Graph, p: Pattern, roots: list[int], counting: bool, compat: bo
     if not p.pairs:
         return roots_scan(g, p, roots[0], compat, single), []
     df = root_tuples(g, p, roots, pending, compat, single, hint)
+    near = {some[0]: [r for r in roots if (r, some[0]) in p.pairs] for some in leaves}
     made: dict[tuple, str] = {}
-    out = []
-    for some in leaves:
-        n = some[0]
-        near = [r for r in roots if (r, n) in p.pairs]
+    out: dict[int, Column] = {}
+    # leaves of several roots first, while the tuples are narrow
+    for some in sorted(leaves, key=lambda some: -len(near[some[0]])):
+        n, by = some[0], near[some[0]]
         late = [e for e in pending.left if n in e.vertices()]
-        alone = counting and len(near) == 1 and not late
-        names = []
-        for r in near:
-            key = (r, leaf(p, r, n), alone)
+        if len(by) == 1 and not late:
+            (r,) = by
+            key = (r, leaf(p, r, n))
             if key not in made:
-                name = made[key] = f"{'size' if alone else 'img'}_{r}_{n}"
-                side = pair(g, p, r, n, single, r).groupBy(u(r)).agg(F.count("*").alias(name)) if alone else images(g, p, r, n, name, single)
+                name = made[key] = f"{'size' if counting else 'img'}_{r}_{n}"
+                side = pair(g, p, r, n, single, r).groupBy(u(r)).agg(F.count("*").alias(name)) if counting else images(g, p, r, n, name, single)
                 side = side.hint(hint) if hint else side
                 df = side if df is None else df.join(side, u(r))
-            names.append(made[key])
-        if alone:
-            out.append((some, F.col(names[0])))
+            out[n] = F.col(made[key])
             continue
-        column = _meet([F.col(x) for x in names])
-        for e in late:
-            column = F.filter(column, _test(e, n))
-        out.append((some, F.size(column) if counting else F.array_sort(column)))
-    return df, out
+        # each tuple meets its leaves from its last root, then the others must have them too
+        wide = df
+        for k, r in enumerate(reversed(by)):
+            step = pair(g, p, r, n, single)
+            step = step.hint(hint) if hint else step
+            wide = step if wide is None else wide.join(step, [u(r), u(n)] if k else [u(r)])
+        if late:
+            wide = wide.where(all_of([to_column(e) for e in late]))
+        name = f"{'size' if counting else 'img'}_{n}"
+        held = [] if df is None else [c for c in df.columns if c not in {u(r) for r in roots}]
+        what = F.count("*") if counting else F.array_sort(F.collect_list(u(n)))
+        df = wide.groupBy(*[u(r) for r in roots]).agg(*[F.first(c).alias(c) for c in held], what.alias(name))
+        out[n] = F.col(name)
+    return df, [(some, out[some[0]]) for some in leaves]
 
 
 def count_of(df: DataFrame, sizes: list[tuple[list[int], Column]], collapse: bool = False) -> DataFrame:

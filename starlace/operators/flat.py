@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from ..functions.exprs import to_column
 from ..plans.ast import Expr
 from ..plans.pattern import Pattern
+from ..plans.planner import join_order
 from ..sources.graph import Graph
 from .pairs import all_of, pair, u, vertex_scan
 
@@ -23,41 +24,33 @@ class Pending:
         return df.where(all_of([to_column(e) for e in ready])) if ready else df
 
 
-def order_of_pairs(p: Pattern, roots: list[int]) -> list[tuple[int, int]]:
-    """Pairs by root, each root's back to earlier vertices first; a pair's first vertex is the root."""
-    out: list[tuple[int, int]] = []
-    done: set[tuple[int, int]] = set()
-    bound: set[int] = set()
-    for r in roots:
-        near = sorted(p.neighbors(r), key=lambda n: (n not in bound, n not in roots, n))
-        for n in near:
-            if (r, n) not in done:
-                out.append((r, n))
-                done |= {(r, n), (n, r)}
-                bound |= {r, n}
-    return out
+def order_of_pairs(g: Graph, p: Pattern, some: set[int]) -> list[tuple[int, int]]:
+    """The pairs among the given vertices in the order in which they are joined."""
+    pairs = [(a, b) for a, b in sorted(p.pairs) if a < b and a in some and b in some]
+    if len(pairs) < 2:
+        return pairs
+    return join_order(p, pairs, g.sizes({k for x in p.pairs.values() for k in x.incoming | x.outgoing | x.either}))[1]
 
 
-def component(g: Graph, p: Pattern, roots: list[int], hint: str | None = None) -> DataFrame:
+def component(g: Graph, p: Pattern, hint: str | None = None) -> DataFrame:
     """All matches of a connected pattern: u-columns by id."""
     pending = Pending([e for e in p.constraints if len(e.vertices()) > 1 and not (len(e.vertices()) == 2 and tuple(e.vertices()) in p.pairs)])
     if not p.pairs:
         (n,) = p.labels
         return vertex_scan(g, p, n)
-    left = order_of_pairs(p, roots)
+    df = joined(g, p, set(p.labels), pending, hint)
+    return df.select(*[u(n) for n in sorted(p.labels)])
+
+
+def joined(g: Graph, p: Pattern, some: set[int], pending: Pending, hint: str | None = None) -> DataFrame:
+    """The pair relations among the given vertices, joined; constraints as soon as they can be."""
     df, bound = None, set()
-    while left:
-        # closing pairs first: they only filter
-        k = next((k for k, (a, b) in enumerate(left) if {a, b} <= bound), None)
-        if k is None:
-            k = next((k for k, ab in enumerate(left) if bound & set(ab)), 0)
-        a, b = left.pop(k)
+    for a, b in order_of_pairs(g, p, some):
         step = pair(g, p, a, b)
         if df is None:
             df = step
         else:
-            on = [u(n) for n in (a, b) if n in bound]
-            df = df.join(step.hint(hint) if hint else step, on)
+            df = df.join(step.hint(hint) if hint else step, [u(n) for n in (a, b) if n in bound])
         bound |= {a, b}
         df = pending.apply(df, bound)
-    return df.select(*[u(n) for n in sorted(p.labels)])
+    return df

@@ -39,13 +39,22 @@ def prepared(g: Graph, p: Pattern, semantics: str, injective: bool = False) -> t
     return (g.reduced if single else g), p, single
 
 
+def _roots(g: Graph, p: Pattern, compat: bool) -> list[int]:
+    """Under compat results depend on the roots, so they are chosen by its rules; else by cost."""
+    if compat or len(p.labels) > 8:
+        return planner.decompose(p, g.frequency)
+    if len(p.pairs) <= 2:
+        return [min(p.labels)]
+    return planner.cheapest_roots(p, g.sizes({k for x in p.pairs.values() for k in x.incoming | x.outgoing | x.either}))
+
+
 def _parts(g: Graph, p: Pattern, roots: list[int] | None, compat: bool) -> list[tuple[Pattern, list[int]]]:
     """Connected parts and their roots."""
     given = planner.checked_roots(p, roots) if roots is not None else None
     out = []
     for some in p.components():
         part = p.restricted(some)
-        mine = [r for r in given if r in some] if given is not None else planner.decompose(part, g.frequency)
+        mine = [r for r in given if r in some] if given is not None else _roots(g, part, compat)
         out.append((part, mine or [min(some)]))
     if compat and len(out) > 1:
         if given is not None:
@@ -76,7 +85,7 @@ def match(g: Graph, pattern: str | Pattern, semantics: str = "homomorphism", mod
         if compat or mode == "factorized" and factorized.can(part, mine) and planner.connected(part, mine):
             got = factorized.rows_of(*_swap(*factorized.component(g, part, mine, False, compat, single, HINTS[index]), part))
         else:
-            got = flat.component(g, part, mine, HINTS[index])
+            got = flat.component(g, part, HINTS[index])
         df = got if df is None else df.crossJoin(got)
     if not compat or injective:
         df = flat.Pending(_outer(p, parts)).apply(df, set(p.labels))
@@ -114,7 +123,7 @@ def count(g: Graph, pattern: str | Pattern, semantics: str = "homomorphism", mod
         if compat or factorized.can(part, mine) and planner.connected(part, mine):
             got = factorized.count_of(*factorized.component(g, part, mine, True, compat, single, HINTS[index]), compat and len(mine) > 1)
         else:
-            got = flat.component(g, part, mine, HINTS[index]).agg(F.count("*").cast(factorized.COUNT).alias("n"))
+            got = flat.component(g, part, HINTS[index]).agg(F.count("*").cast(factorized.COUNT).alias("n"))
         out = got if out is None else out.crossJoin(got.withColumnRenamed("n", "m")).select((F.col("n") * F.col("m")).cast(factorized.COUNT).alias("n"))
     return out
 

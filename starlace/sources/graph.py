@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import GraphDataError
+from ..plans.planner import Sizes
 
 VERTICES = "vid bigint, vlabel int"
 EDGES = "src bigint, dst bigint, elabel int"
@@ -46,6 +47,8 @@ class Graph:
             raise GraphDataError(f"layout must be one of {', '.join(LAYOUTS)}")
         self.vertices, self.edges, self.layout, self._labelled = vertices, edges, layout, labelled
         self._frequency: dict[int, int] | None = None
+        self._vertex_counts: dict[int, int] | None = None
+        self._edge_counts: dict[int, dict[tuple[int, int, int], int]] = {}
 
     # -- sources --------------------------------------------------------------------------
 
@@ -106,7 +109,11 @@ class Graph:
             raise GraphDataError(f"{path} isn't a graph")
         v = spark.read.schema("vid bigint, vlabel int").parquet(f"{path}/vertices").select("vid", "vlabel")
         a = spark.read.schema("src bigint, dst bigint, elabel int, slabel int, dlabel int").parquet(f"{path}/edges").select("src", "slabel", "dst", "dlabel", "elabel")
-        return cls(v, a.select("src", "dst", "elabel"), about["layout"], a)
+        g = cls(v, a.select("src", "dst", "elabel"), about["layout"], a)
+        g._vertex_counts = {k: n for k, n in about["vertices"]}
+        for s, e, d, n in about["edges"]:
+            g._edge_counts.setdefault(e, {})[s, e, d] = n
+        return g
 
     # -- build and export -----------------------------------------------------------------
 
@@ -116,7 +123,10 @@ class Graph:
         self.vertices.repartition("vlabel", F.pmod(F.xxhash64("vid"), F.lit(32))).sortWithinPartitions("vlabel", "vid").write.mode(mode).partitionBy("vlabel").parquet(f"{path}/vertices")
         some = self.reduced.labelled if self.layout == "single" else self.labelled
         some.repartition("elabel", "slabel", "dlabel", F.pmod(F.xxhash64("src"), F.lit(32))).sortWithinPartitions("elabel", "slabel", "dlabel", "src", "dst").write.mode(mode).partitionBy("elabel", "slabel", "dlabel").parquet(f"{path}/edges")
-        spark.createDataFrame([(json.dumps({"format": _FORMAT, "layout": self.layout}),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/description")
+        kept = spark.read.parquet(f"{path}/edges").groupBy("slabel", "elabel", "dlabel").count().collect()
+        vertices = spark.read.parquet(f"{path}/vertices").groupBy("vlabel").count().collect()
+        about = {"format": _FORMAT, "layout": self.layout, "vertices": [list(r) for r in vertices], "edges": [list(r) for r in kept]}
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/description")
         return Graph.load(spark, path)
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Graph:
@@ -172,6 +182,16 @@ class Graph:
             self._frequency = dict(self.label_frequency().collect())  # a row for each label
         return self._frequency.get(label, 0)
 
+    def sizes(self, elabels: set[int]) -> Sizes:
+        """Statistics for the planner: a saved graph has them written down, another counts once."""
+        if self._vertex_counts is None:
+            self._vertex_counts = dict(self.vertices.groupBy("vlabel").count().collect())
+        if new := [k for k in sorted(elabels) if k not in self._edge_counts]:
+            self._edge_counts |= {k: {} for k in new}
+            for s, e, d, n in self.labelled.where(F.col("elabel").isin(new)).groupBy("slabel", "elabel", "dlabel").count().collect():
+                self._edge_counts[e][s, e, d] = n
+        return Sizes(self._vertex_counts, {k: n for e in elabels for k, n in self._edge_counts[e].items()})
+
     def degrees(self) -> DataFrame:
         """(vid, vlabel, in_deg, out_deg): edges, or, in the single layout, neighbours."""
         d = self.doubled.select("vid", "vlabel", "nid", "direction", "elabel")
