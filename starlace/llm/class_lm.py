@@ -3,13 +3,18 @@
 P(w | v) = P(class(w) | class(v)) * P(w | class(w)); a text begins after a boundary that has a
 class of its own. Words are the lower-cased runs of letters, digits and underscores.
 
-The ``VOCABULARY`` most frequent words have a symbol each. All other words, however many, share
-``BUCKETS`` symbols by their hash: a bucket's counts are those of all its words, and its
-emission is spread evenly over its distinct words. So the model's size is fixed while every word
-of every document is counted. Classes come from the exchange algorithm: symbols are visited one
-by one, and each moves to the class that raises the likelihood of the corpus most, exactly
-reckoned. Symbols are dealt to parts, and parts are visited in parallel against the same class
-counts; after each pass the counts are made anew, and the best assignment so far is kept.
+Every word of the corpus has a count, a class and an emission of its own (``train_whole``), in
+tables that are dealt to parts by the word's hash and grow with the corpus; a batch of texts asks
+the parts for its words by a shuffle, and no table of words is broadcast or collected. There are
+``CLASSES`` classes at any size. Where a caller gives ``vocabulary`` or ``buckets``, the model is
+one of bounded size (``train``): that many frequent words have a symbol each, and all others share
+the buckets by their hash.
+
+Classes come from the exchange algorithm: each word moves to the class that raises the likelihood
+of the corpus most, exactly reckoned against the class counts at hand. Parts are visited in
+parallel against the same class counts; within a part frequent words go one by one, rare ones
+``_TOGETHER`` at a time; after each pass the counts are made anew, and the best assignment so far
+is kept.
 
 Transitions are smoothed towards the class frequencies (weight ``PRIOR``), emissions by
 ``ADD`` for each symbol.
@@ -22,6 +27,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import kept_names, own, quoted, written
+from .frames import fresh, kept_names, own, quoted, written
 from .textops import Words, bounded, lazily
 
 #: Production parameters.
@@ -385,8 +391,7 @@ def train(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, buc
         label = moved
 
     m, label = best_m, best
-    share = (m.sum(0) + 1.0) / (m.sum(0) + 1.0).sum()
-    transition = np.log((m + prior * share) / (m.sum(1, keepdims=True) + prior))
+    transition = _transition(m, prior)
     of = label[:size].astype(np.int64)
     spread = np.where(np.arange(size) < len(h), 1.0, np.maximum(types, 1.0))
     total = np.bincount(of, counts + add, classes + 1)
@@ -411,12 +416,409 @@ def score(text: Column, model) -> Column:
     return F.arrow_udf(make, _SCORE).asNondeterministic()(text)
 
 
+# The model of all words. A word's number is its place among the words of its part times the
+# number of parts, plus the part; nothing here is held whole by the driver or by one worker.
+
+_KEYED = "part bigint, side bigint, blob binary"
+#: Characters of text for each part of the words, and of a batch of texts.
+_CHARS, _BATCH = 8_000_000, 2_000_000
+#: Words that stand more often are visited one by one; others so many together.
+_OFTEN, _TOGETHER, _CHUNK = 1_000, 1_000, 10_000
+
+
+def _dump(*arrays: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, pickle.HIGHEST_PROTOCOL))
+
+
+def _load(blob: bytes) -> tuple[np.ndarray, ...]:
+    import zstandard
+
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+
+
+def _rows(part: list, side: list, blob: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(side, pa.int64()), pa.array(blob, pa.binary())], ["part", "side", "blob"])
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _each_row(rows: DataFrame, each, kind: str = _KEYED) -> DataFrame:
+    """each(part, side, blob) for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from each(*(batch.column(c)[k].as_py() for c in ("part", "side", "blob")))
+
+    return rows.select("part", "side", "blob").mapInArrow(run, kind)
+
+
+def _split(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by part, and where each part's begin in it (one more than parts)."""
+    order = np.argsort(part, kind="stable")
+    return order, np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+
+
+def _batches(numbered: DataFrame, rid: str, text: str) -> DataFrame:
+    """A row for each batch of texts, keyed by its first row's number: the rows' numbers, their
+    numbers of words, the words as places among the batch's distinct ones, and those."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, some in bounded(batch.column(0).to_pylist(), lazily(batch.column(1)), _BATCH):
+                w = Words(some)
+                h, at = np.unique(w.hash, return_inverse=True)
+                yield _rows([ids[0]], [-1], [_dump(np.array(ids, np.int64), _narrow(np.diff(w.first)), _narrow(at), h)])
+
+    return numbered.select(rid, F.col(quoted(text))).mapInArrow(cut, _KEYED)
+
+
+def _named(batches: DataFrame, parts: int) -> DataFrame:
+    """By part. side -1: the part's words in order, and how often each stands. Other sides: a
+    batch's words of the part, as places."""
+
+    def ask(batch: int, _: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+        _, _, at, h = _load(blob)
+        if len(h):
+            n = np.bincount(at, minlength=len(h))
+            order, cut = _split((h % np.uint64(parts)).astype(np.int64), parts)
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            yield _rows(some, [batch] * len(some), [_pack(h[order[cut[p] : cut[p + 1]]], n[order[cut[p] : cut[p + 1]]]) for p in some])
+
+    def name(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        held = [(batch, *_unpack(blob)) for batch, blob in some if batch >= 0]
+        if not held:
+            k, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        else:
+            k, n = _summed(np.concatenate([x for _, x, _ in held]), np.concatenate([x for _, _, x in held]))
+        yield _rows([part], [-1], [_dump(k, n)])
+        for batch, h, _ in held:
+            yield _rows([part], [batch], [_dump(_narrow(np.searchsorted(k, h)))])
+
+    every = batches.sparkSession.range(parts).select(F.col("id").alias("part"), F.lit(-1).cast("bigint").alias("side"), F.lit(b"").alias("blob"))
+    return _by_part(_each_row(batches, ask).union(every), parts, name, _KEYED)
+
+
+def _answered(batches: DataFrame, answers: DataFrame, parts: int, each, kind: str) -> DataFrame:
+    """each(rows' numbers, numbers of words, the words as places, [part], [an answer's arrays for
+    the batch's words of the part]) for every batch. answers: by part, side the batch."""
+    turned = answers.where("side >= 0").select(F.col("side").alias("part"), F.col("part").alias("side"), "blob")
+
+    def run(_: int, some: list) -> Iterator[pa.RecordBatch]:
+        (own,) = [blob for side, blob in some if side < 0]
+        ids, size, at, h = _load(own)
+        order, cut = _split((h % np.uint64(parts)).astype(np.int64), parts)
+        got = []
+        for part, blob in some:
+            if part >= 0:
+                for k, x in enumerate(_load(blob)):
+                    if k == len(got):
+                        got.append(np.zeros(len(h), np.float64 if x.dtype.kind == "f" else np.int64))
+                    got[k][order[cut[part] : cut[part + 1]]] = x
+        yield from each(ids, size.astype(np.int64), at.astype(np.int64), (h % np.uint64(parts)).astype(np.int64), got)
+
+    return _by_part(batches.select("part", "side", "blob").union(turned), parts, run, kind)
+
+
+def _before(now: np.ndarray, size: np.ndarray, boundary: int) -> np.ndarray:
+    before = np.empty_like(now)
+    before[1:] = now[:-1]
+    before[(np.cumsum(size) - size)[size > 0]] = boundary
+    return before
+
+
+def _all_pairs(batches: DataFrame, named: DataFrame, parts: int, boundary: int) -> DataFrame:
+    """By part: word, other, how often; side 0: other follows the word, 1: other precedes it."""
+
+    def count(_, size, at, part, got) -> Iterator[pa.RecordBatch]:
+        if not len(at):
+            return
+        now = (got[0] * parts + part)[at]
+        pair = np.stack([_before(now, size, boundary), now], 1)
+        order = np.lexsort((pair[:, 1], pair[:, 0]))
+        pair = pair[order]
+        new = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]).any(1)))
+        pair, n = pair[new], np.diff(np.append(new, len(order)))
+        for side in (0, 1):
+            word, other = pair[:, side], pair[:, 1 - side]
+            order, cut = _split(word % parts, parts)
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            yield _rows(some, [side] * len(some), [_packed_pairs(word[order[cut[p] : cut[p + 1]]] // parts, other[order[cut[p] : cut[p + 1]]], n[order[cut[p] : cut[p + 1]]]) for p in some])
+
+    def merge(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        for side in (0, 1):
+            held = [_load(blob) for s, blob in some if s == side]
+            if held:
+                word, other, n = (np.concatenate([x[k] for x in held]).astype(np.int64) for k in range(3))
+                yield _rows([part], [side], [_packed_pairs(word, other, n)])
+
+    return _by_part(_answered(batches, named, parts, count, _KEYED), parts, merge, _KEYED)
+
+
+def _packed_pairs(word: np.ndarray, other: np.ndarray, n: np.ndarray) -> bytes:
+    """Equal pairs summed."""
+    order = np.lexsort((other, word))
+    word, other = word[order], other[order]
+    new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (other[1:] != other[:-1])))
+    return _dump(_narrow(word[new]), _narrow(other[new]), _narrow(np.add.reduceat(n[order], new)))
+
+
+def _profiles(pairs: DataFrame, labels: DataFrame, parts: int, width: int) -> DataFrame:
+    """By part: (place, side, class), how often the class follows (0) and precedes (1) the word.
+    side -1: the part's labels. Each part tells the others the classes of its words."""
+
+    def tell(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        (label,) = [_load(blob)[0] for side, blob in some if side == 2]
+        yield _rows([part], [-1], [_dump(label)])
+        for side, blob in some:
+            if side != 2:
+                word, other, n = (x.astype(np.int64) for x in _load(blob))
+                # a word that other follows precedes it
+                key = (other // parts * 2 + (1 - side)) * width + label[word]
+                order, cut = _split(other % parts, parts)
+                some_parts = np.flatnonzero(np.diff(cut)).tolist()
+                blobs = [_pack(*_summed(key[order[cut[p] : cut[p + 1]]].astype(np.uint64), n[order[cut[p] : cut[p + 1]]])) for p in some_parts]
+                yield _rows(some_parts, [0] * len(some_parts), blobs)
+
+    def merge(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        yield _rows([part], [-1], [blob for side, blob in some if side == -1])
+        held = [(side, blob) for side, blob in some if side == 0]
+        if held:
+            yield _rows([part], [0], [_pack(*_merged(held))])
+
+    told = _by_part(pairs.union(labels.select("part", F.lit(2).cast("bigint").alias("side"), "blob")), parts, tell, _KEYED)
+    return _by_part(told, parts, merge, _KEYED)
+
+
+def _profile_matrix(profiles: DataFrame, parts: int, width: int) -> np.ndarray:
+    """Counts of class pairs."""
+
+    def count(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        (label,) = [_load(blob)[0] for side, blob in some if side == -1]
+        for side, blob in some:
+            if side == 0:
+                k, n = _unpack(blob)
+                k = k.astype(np.int64)
+                f = k // width % 2 == 0
+                total = np.bincount(label[k[f] // (2 * width)].astype(np.int64) * width + k[f] % width, n[f], width * width)
+                cell = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell].astype(np.int64))], ["cell", "n"])
+
+    got = _by_part(profiles, parts, count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    m = np.zeros(width * width)
+    m[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return m.reshape(width, width)
+
+
+def exchange_together(profile: np.ndarray, selves: np.ndarray, label: np.ndarray, m: np.ndarray, classes: int) -> np.ndarray:
+    """As exchange, but all of the words are visited against the same m, which then gets their moves."""
+    n, width = len(label), classes + 1
+    at, k = np.arange(n), np.arange(classes)
+    a, s = label.astype(np.int64), selves
+    r, left = profile[:, 0].copy(), profile[:, 1].copy()
+    rho, lam = r.sum(1), left.sum(1)
+    full = profile.copy()
+    r[at, a] -= s
+    left[at, a] -= s
+    gain = np.zeros((n, classes))
+    for mine, theirs, base in ((r, full[:, 1], m[:classes]), (left, full[:, 0], m[:, :classes].T)):
+        # base[k, c]: the counts of class k with c; the word is taken out of its own class. mine
+        # lacks what it is beside itself, theirs has it, so that is taken out of its cell once
+        w, c = np.nonzero(mine)
+        x = base[:, c].T.copy()
+        e, own = np.arange(len(w)), np.flatnonzero(c == a[w])
+        x[e, a[w]] -= mine[w, c]
+        x[own] -= theirs[w[own], :classes]
+        part = _xlogx(x + mine[w, c][:, None]) - _xlogx(x)
+        if len(w):
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            gain[w[first]] += np.add.reduceat(part, first)
+    own = np.repeat(m[k, k][None], n, 0)
+    own[at, a] -= r[at, a] + left[at, a] + s
+    rk, lk = r[:, :classes], left[:, :classes]
+    out, into = np.repeat(m.sum(1)[None, :classes], n, 0), np.repeat(m.sum(0)[None, :classes], n, 0)
+    out[at, a] -= rho
+    into[at, a] -= lam
+    gain += _xlogx(own + rk + lk + s[:, None]) - _xlogx(own + rk) - _xlogx(own + lk) + _xlogx(own)
+    gain -= _xlogx(out + rho[:, None]) - _xlogx(out) + _xlogx(into + lam[:, None]) - _xlogx(into)
+    best = gain.argmax(1)
+    best = np.where(gain[at, best] <= gain[at, a] + 1e-9, a, best)
+    go = np.flatnonzero(best != a)
+    if len(go):
+        b, f = best[go], a[go]
+        np.subtract.at(m, f, full[go, 0])
+        np.subtract.at(m.T, f, full[go, 1])
+        np.add.at(m, (f, f), s[go])
+        np.add.at(m, b, r[go])
+        np.add.at(m.T, b, left[go])
+        np.add.at(m, (b, b), s[go])
+    return best
+
+
+def _moved(profiles: DataFrame, m, parts: int, classes: int, boundary: int) -> DataFrame:
+    """By part: the labels after a visit to each word, in chunks of them."""
+    width = classes + 1
+
+    def visit(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        (label,) = [_load(blob)[0] for side, blob in some if side == -1]
+        label, now = label.copy(), m.value.copy()
+        for side, blob in some:
+            if side == 0:
+                k, n = _unpack(blob)
+                k = k.astype(np.int64)
+                for lo in range(0, len(label), _CHUNK):
+                    hi = min(len(label), lo + _CHUNK)
+                    a, b = np.searchsorted(k, [lo * 2 * width, hi * 2 * width])
+                    profile = np.bincount(k[a:b] - lo * 2 * width, n[a:b], (hi - lo) * 2 * width).reshape(-1, 2, width)
+                    selves = _selves(some, lo, hi, part, parts)
+                    size = profile.sum((1, 2))
+                    order = np.argsort(-size, kind="stable")
+                    order = order[(size[order] > 0) & ((order + lo) * parts + part != boundary)]
+                    often = order[size[order] > _OFTEN]
+                    label[lo + often] = exchange(often, profile[often], selves[often], label[lo + often], now, classes)
+                    rest = order[len(often) :]
+                    for x in range(0, len(rest), _TOGETHER):
+                        w = rest[x : x + _TOGETHER]
+                        label[lo + w] = exchange_together(profile[w], selves[w], label[lo + w], now, classes)
+        yield _rows([part], [-1], [_dump(label)])
+
+    return _by_part(profiles, parts, visit, _KEYED)
+
+
+def _selves(some: list, lo: int, hi: int, part: int, parts: int) -> np.ndarray:
+    """How often words follow themselves."""
+    out = np.zeros(hi - lo)
+    for side, blob in some:
+        if side == 1:
+            at, n = _load(blob)
+            f = (at >= lo) & (at < hi)
+            out[at[f]- lo] += n[f]
+    return out
+
+
+def _own_pairs(pairs: DataFrame, parts: int) -> DataFrame:
+    def each(part: int, side: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+        if side == 0:
+            word, other, n = (x.astype(np.int64) for x in _load(blob))
+            f = word * parts + part == other
+            yield _rows([part], [1], [_dump(word[f], n[f])])
+
+    return _each_row(pairs, each)
+
+
+@dataclass
+class Whole:
+    """The model of all words. words: by part, a row of hashes, counts and classes of the part's words."""
+
+    words: DataFrame
+    batches: DataFrame
+    named: DataFrame
+    parts: int
+    boundary: int
+    transition: np.ndarray
+    totals: np.ndarray  # of counts and what is added to them, by class
+    add: float
+    objectives: list[float]
+
+    def scores(self) -> DataFrame:
+        """(id, n, p): words and log probability of each row."""
+        parts, add, last = self.parts, self.add, len(self.transition) - 1
+        shared = self.batches.sparkSession.sparkContext.broadcast((self.transition, np.log(self.totals)))
+
+        def answer(part: int, some: list) -> Iterator[pa.RecordBatch]:
+            ((_, n, label),) = [_load(blob) for side, blob in some if side == -2]
+            emission = np.log(n + add) - shared.value[1][label]
+            for side, blob in some:
+                if side >= 0:
+                    at = _load(blob)[0]
+                    yield _rows([part], [side], [_dump(label[at], emission[at])])
+
+        def add_up(ids, size, at, part, got) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(ids))
+            if len(at):
+                now = got[0][at]
+                p = shared.value[0][_before(now, size, last), now] + got[1][at]
+                some = np.flatnonzero(size)
+                total[some] = np.add.reduceat(p, (np.cumsum(size) - size)[some])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(total)], ["id", "n", "p"])
+
+        both = self.named.where("side >= 0").union(self.words)
+        return _answered(self.batches, _by_part(both, parts, answer, _KEYED), parts, add_up, "id bigint, n bigint, p double")
+
+
+def train_whole(numbered: DataFrame, rid: str, text: str = "text", classes: int = CLASSES, passes: int = PASSES, prior: float = PRIOR, add: float = ADD) -> Whole:
+    """The model of all documents and of every word in them. rid: numbers of the rows, each once."""
+    sc = numbered.sparkSession.sparkContext
+    width = classes + 1
+    size = numbered.agg(F.sum(F.length(F.col(quoted(text))))).first()[0] or 0
+    parts = max(4, -(-size // _CHARS))
+    batches = written(_batches(numbered, rid, text), "batches")
+    named = written(_named(batches, parts), "named")
+    counted = named.where("side = -1")
+    first = counted.where("part = 0").first()
+    # the boundary is numbered after the words of part 0
+    boundary = len(_load(first["blob"])[0]) * parts
+    pairs = written(_all_pairs(batches, named, parts, boundary), "pairs")
+    selves = written(_own_pairs(pairs, parts), "selves")
+
+    def begin(part: int, _: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+        _, n = _load(blob)
+        label = np.empty(len(n), np.int16)
+        # frequent words first, one to each class in turn
+        label[np.argsort(-n, kind="stable")] = (np.arange(len(n)) + part) % classes
+        yield _rows([part], [-1], [_dump(np.append(label, np.int16(classes)) if part == 0 else label)])
+
+    labels = written(_each_row(counted, begin), "labels")
+    best_value, values = -np.inf, []
+    for k in range(passes + 1):
+        profiles = written(_profiles(pairs, labels, parts, width), "profiles")
+        m = _profile_matrix(profiles, parts, width)
+        values.append(objective(m))
+        if values[-1] > best_value:
+            best, best_value, best_m = labels, values[-1], m
+        if k < passes:
+            labels = written(_moved(profiles.union(selves), sc.broadcast(m), parts, classes, boundary), "labels")
+
+    def classed(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        (k, n), (label,) = (next(_load(blob) for side, blob in some if side == s) for s in (-1, 2))
+        yield _rows([part], [-2], [_dump(k, n, label[: len(k)])])
+
+    words = written(_by_part(counted.union(best.select("part", F.lit(2).cast("bigint").alias("side"), "blob")), parts, classed, _KEYED), "classed")
+
+    def sums(_: int, __: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+        _, n, label = _load(blob)
+        total = np.bincount(label, n + add, width).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total)], ["c", "n"])
+
+    got = _each_row(words, sums, "c bigint, n double").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.ones(width)
+    totals[got["c"].to_numpy()] = np.maximum(got["n"].to_numpy(), 1e-300)
+    return Whole(words, batches, named, parts, boundary, _transition(best_m, prior), totals, add, values)
+
+
+def _transition(m: np.ndarray, prior: float) -> np.ndarray:
+    share = (m.sum(0) + 1.0) / (m.sum(0) + 1.0).sum()
+    return np.log((m + prior * share) / (m.sum(1, keepdims=True) + prior))
+
+
 @kept_names
 def perplexity(docs: DataFrame, text: str = "text", model: Model | None = None, into: str = "lm", **how) -> DataFrame:
-    """docs with one more struct column: n_words, log_prob, perplexity; by a model of docs itself unless one is given."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, text, **how))
-    got = docs.select(*own(docs, into), score(F.col(quoted(text)), shared).alias(into))
+    """docs with one more struct column: n_words, log_prob, perplexity; by a model of docs itself
+    unless one is given. With ``vocabulary`` or ``buckets`` that is one of bounded size."""
     s = F.col(quoted(into))
+    if model or "vocabulary" in how or "buckets" in how:
+        shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, text, **how))
+        got = docs.select(*own(docs, into), score(F.col(quoted(text)), shared).alias(into))
+    else:
+        rid = fresh(docs, "rid")
+        numbered = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+        scores = train_whole(numbered, rid, text, **how).scores().select(F.col("id").alias(rid), F.struct(F.col("n").alias("n_words"), F.col("p").alias("log_prob")).alias(fresh(docs, "scored")))
+        scored = scores.columns[1]
+        got = numbered.join(scores.hint("shuffle_hash"), rid).select(*own(docs, into), F.col(scored).alias(into))
     return got.withColumn(into, F.struct(s["n_words"].alias("n_words"), s["log_prob"].alias("log_prob"), F.when(s["n_words"] > 0, F.exp(-s["log_prob"] / s["n_words"])).alias("perplexity")))
 
 

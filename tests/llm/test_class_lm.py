@@ -1,6 +1,6 @@
 import numpy as np
 
-from starlace.llm.class_lm import _pack, _unpack, exchange, objective, perplexity, train
+from starlace.llm.class_lm import _pack, _unpack, exchange, exchange_together, objective, perplexity, train
 from starlace.llm.textops import Words
 
 
@@ -73,3 +73,58 @@ def test_odd(odd, none, clashing):
     assert got[6, len(" ".join(f"w{k % 977}x{k % 1009}" for k in range(30_000)))].n_words == 30_000
     assert perplexity(none, **how).count() == 0
     assert perplexity(clashing, **how).count() == odd.count()
+
+
+def test_visited_together_each_moves_as_alone():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        v, c = 12, 4
+        pairs = rng.integers(0, 4, (v + 1, v + 1)).astype(float)
+        pairs[:, v] = 0
+        label = np.append(rng.integers(0, c, v), c)
+        profile = np.stack([[np.bincount(label, pairs[i], c + 1), np.bincount(label, pairs[:, i], c + 1)] for i in range(v)])
+        m, selves = matrix(pairs, label, c), np.diag(pairs)[:v]
+        alone = [exchange(np.arange(i, i + 1), profile[i : i + 1], selves[i : i + 1], label[i : i + 1], m.copy(), c)[0] for i in range(v)]
+        assert exchange_together(profile, selves, label[:v], m.copy(), c).tolist() == alone
+        i = int(rng.integers(v))
+        moved, now = label.copy(), m.copy()
+        moved[i] = exchange_together(profile[i : i + 1], selves[i : i + 1], label[i : i + 1], now, c)[0]
+        assert np.allclose(now, matrix(pairs, moved, c))
+
+
+def test_every_word_has_a_row_of_its_own(spark, small, monkeypatch):
+    """More words than the bounded model has symbols for: each keeps its count, a class and an emission."""
+    import starlace.llm.class_lm as lm
+
+    monkeypatch.setattr(lm, "_BATCH", 20_000)
+    frequent = " ".join(f"w{k} w{k} w{k + 1}" for k in range(70_000))
+    docs = small.select("doc_id", "text").union(spark.createDataFrame([(-1, frequent), (-2, None), (-3, "")], "doc_id long, text string"))
+    numbered = lm.written(docs.selectExpr("*", "monotonically_increasing_id() AS rid"), "numbered")
+    model = lm.train_whole(numbered, "rid", classes=6, passes=2)
+    texts = {r.rid: r.text for r in numbered.collect()}
+    words = Words([t or "" for t in texts.values()])
+    h, n = np.unique(words.hash, return_counts=True)
+    held = [lm._load(bytes(r.blob)) for r in model.words.collect()]
+    k, count, label = (np.concatenate([x[j] for x in held]) for j in range(3))
+    order = np.argsort(k)
+    assert len(h) > 70_000 and (k[order] == h).all() and (count[order] == n).all()
+    assert max(model.objectives) > model.objectives[0]
+    emission = np.log(count + model.add) - np.log(model.totals)[label]
+    assert np.allclose(np.bincount(label, np.exp(emission)), 1) and np.allclose(np.exp(model.transition).sum(1), 1)
+    # the counts of class pairs are those of a loop over the texts, and so are the scores
+    at = {x: j for j, x in enumerate(k.tolist())}
+    got = {r.id: r for r in model.scores().collect()}
+    assert len(got) == len(texts)
+    for rid, t in texts.items():
+        before, p, w = 6, 0.0, Words([t or ""]).hash.tolist()
+        for x in w:
+            p += model.transition[before, label[at[x]]] + emission[at[x]]
+            before = label[at[x]]
+        assert got[rid].n == len(w) and abs(got[rid].p - p) < 1e-6 * max(1, abs(p))
+
+
+def test_whole_model_of_odd_tables(odd, none, clashing):
+    got = {(r.doc_id, r.n_chars): r.lm for r in perplexity(odd, classes=3, passes=1).collect()}
+    assert got[4, 0].n_words == 0 and got[4, 0].perplexity is None and got[5, None].log_prob == 0
+    assert perplexity(none, classes=3, passes=1).count() == 0
+    assert perplexity(clashing, classes=3, passes=1).count() == odd.count()
