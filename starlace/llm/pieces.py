@@ -39,6 +39,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters a block; distinct segments that a worker remembers.
 BLOCK, REMEMBER = 1_000_000, 500_000
+#: A longer segment of a BPE model is merged one by one: alone in its length, it would be advanced character by character.
+_LONG = 1 << 14
 
 
 class Vocabulary:
@@ -77,7 +79,7 @@ class Vocabulary:
 
     def _hash_text(self, text: str) -> np.uint64:
         c = self.code[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.uint64)
-        up, _ = _powers(1 << 20)
+        up, _ = _powers(1 << max(20, len(c).bit_length()))
         with np.errstate(over="ignore"):
             return mix(np.array([(c * up[: len(c)]).sum(dtype=np.uint64)]) + np.uint64(len(c)))[0]
 
@@ -191,7 +193,7 @@ class Vocabulary:
     def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """codes: segments x length. Backpointers: the last piece, and its length, at each place."""
         m, length = codes.shape
-        up, down = _powers(1 << 20)
+        up, down = _powers(1 << max(20, length.bit_length()))
         sums = np.zeros((m, length + 1), np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum(codes.astype(np.uint64) * up[:length], axis=1, out=sums[:, 1:])
@@ -319,6 +321,8 @@ class Encoder:
 
     def _learn(self, hashes: np.ndarray, segments: list[np.ndarray], texts: list[str], slow: np.ndarray) -> None:
         ids: list = [None] * len(segments)
+        if self.v.bpe:
+            slow = slow | np.array([len(s) > _LONG for s in segments], bool)
         fast = np.flatnonzero(~slow)
         for r, x in zip(fast.tolist(), self.v.encode_segments([segments[k] for k in fast])):
             ids[r] = x

@@ -63,3 +63,18 @@ def test_table(odd, none, clashing):
     assert got[5, None].piece_ids is None and got[5, None].n_pieces is None and got[4, ""].piece_ids == []
     assert encode_decode(none).count() == 0
     assert tokenize(clashing).count() == odd.count() and encode_decode(clashing).count() == odd.count()
+
+
+def test_unbroken_runs_longer_than_the_tables_of_powers():
+    import sentencepiece
+
+    v, text = load(), "a" * 1_500_000
+    ids, first = Encoder(v).encode([text])
+    assert first.tolist() == [0, len(ids)] and Decoder(v).decode(ids, first) == [text]
+    text = "abc" * 10_000  # merged one by one as well
+    assert Encoder(v).encode([text])[0].tolist() == sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text)
+    # without priorities there is no merging; no piece is tried here, which would take minutes
+    v = Vocabulary(["<unk>", "a", "aa", SPACE], [0.0, -1.0, -1.5, -1.0], False, 0, None, {0})
+    v.longest = 0
+    last, _ = v.viterbi(np.ones((1, (1 << 20) + 1), v.code.dtype))
+    assert last.shape == (1, (1 << 20) + 2)
