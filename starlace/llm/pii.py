@@ -46,7 +46,7 @@ _GENERATORS = (
     ("CARD", re.compile(r"(?<!\w)\d{4}(?:[ -]\d{4}){3}(?!\w)")),
     ("IP", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")),
     ("IP", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")),
-    ("SECRET", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*\d)[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")),
+    ("SECRET", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_=-]*\d)[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")),
     ("ACCOUNT", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ACCOUNT", re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])")),
 )

@@ -1,6 +1,9 @@
+import random
+
 import numpy as np
+import pytest
 
-from starlace.llm.pii import KINDS, _luhn, _sample, candidates, detect, redact, trained
+from starlace.llm.pii import KINDS, _luhn, _made, _sample, candidates, detect, redact, trained
 
 
 def test_held_out_accuracy():
@@ -48,3 +51,26 @@ def test_table(spark, odd, none, clashing):
     assert redact(none).count() == 0 and redact(clashing).columns == clashing.columns
     two = spark.createDataFrame([(1, "a@example.com b@example.com")], "doc_id long, text string")
     assert redact(two).first().text == "[EMAIL] [EMAIL]" and len(detect(two).first().pii) == 2
+
+
+SECRET = "ab8ca1b3d24be64439e3e49cf46b2d7c90f3602a"
+
+
+@pytest.mark.parametrize("cue", ["key=", "API_KEY=", "https://x.example/?access_token=", "token: "])
+def test_secrets_after_an_equals_sign(cue):
+    text = f"set {cue}{SECRET} there"
+    a = text.index(SECRET)
+    assert (a, a + len(SECRET), "SECRET") in candidates(text)
+    assert (a, a + len(SECRET), "SECRET") in trained().spans([text])[0]
+
+
+def test_recall_over_all_real_spans():
+    """Spans that no generator proposes count as misses."""
+    r, found, real = random.Random(78), dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, 0)
+    made = [_made(r) for _ in range(1500)]
+    for (_, spans), got in zip(made, trained().spans([t for t, _ in made])):
+        for s in spans:
+            real[s[2]] += 1
+            found[s[2]] += s in got
+    print({k: round(found[k] / real[k], 3) for k in KINDS})
+    assert all(found[k] > 0.9 * real[k] for k in KINDS), (found, real)
