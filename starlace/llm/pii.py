@@ -1,6 +1,6 @@
 """PII: candidate spans from high-recall generators, ranked by boosted trees.
 
-Generators propose overlapping spans (addresses of mail, numbers that could be telephones or
+Generators propose overlapping spans, of numbers side by side every run of groups of digits (addresses of mail, numbers that could be telephones or
 cards, network addresses, account numbers, secrets). Each span is described by its format
 (digits, groups, checksums, entropy) and its context (neighbouring characters, cue words);
 gradient-boosted trees turn that into a score, calibrated on held-out candidates into a
@@ -98,6 +98,13 @@ def features(text: str, start: int, stop: int, kind: str) -> list[float]:
     return row + [float(c in cue) for c in _CUES]
 
 
+#: Runs of groups of digits in which numbers may stand side by side, and the digits of one number.
+_RUNS = (
+    ("PHONE", re.compile(r"(?<!\w)[+(]?\d(?:[ \t().\-/]{0,3}\d)*(?!\w)"), 7, 17),
+    ("CARD", re.compile(r"(?<!\w)\d(?:[ -]?\d)*(?!\w)"), 13, 19),
+)
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     out = {(m.start(), m.end(), kind) for kind, rule in _GENERATORS for m in rule.finditer(text) if m.end() > m.start()}
     # a long number may be several numbers side by side
@@ -106,6 +113,19 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             for m in re.finditer(r"\d+", text[a:b]):
                 if m.end() - m.start() >= 7 and (m.start(), m.end()) != (0, b - a):
                     out.add((a + m.start(), a + m.end(), "CARD" if m.end() - m.start() >= 12 else "PHONE"))
+    # and so may any groups of its digits
+    for kind, rule, least, most in _RUNS:
+        for run in rule.finditer(text):
+            groups = [(run.start() + m.start(), run.start() + m.end()) for m in re.finditer(r"\d+", run.group())]
+            for k, (a, _) in enumerate(groups):
+                start = a - (a > run.start() and text[a - 1] in "+(")
+                digits = 0
+                for x, b in groups[k:]:
+                    digits += b - x
+                    if digits > most:
+                        break
+                    if digits >= least:
+                        out.add((start, b, kind))
     return sorted(out)
 
 

@@ -74,3 +74,11 @@ def test_recall_over_all_real_spans():
             found[s[2]] += s in got
     print({k: round(found[k] / real[k], 3) for k in KINDS})
     assert all(found[k] > 0.9 * real[k] for k in KINDS), (found, real)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]), ("tel 555-123-4567 24 hours", ["555-123-4567"]), ("in 2023 555-123-4567", ["555-123-4567"]),
+    ("(555) 123-4567 10 am", ["(555) 123-4567"]), ("020/1234567 12", ["020/1234567"]), ("3782 822463 10005 12", ["3782 822463 10005"]),
+])
+def test_numbers_side_by_side_are_each_proposed(text, want):
+    assert set(want) <= {text[a:b] for a, b, _ in candidates(text)}
