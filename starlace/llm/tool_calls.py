@@ -227,9 +227,10 @@ SCHEMAS = {
 
 
 def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The table has no tool calls of its own, so every turn is read as one: each assistant turn
+    """The table has no tool calls of its own, so turns are read as such: each assistant turn
     calls a tool with its text as the query and its turn as the limit, after the call before it in
-    the conversation; the next turn's text is its result."""
+    the conversation; the next turn's text is its result, where a user's. Turns of other roles and
+    opening user turns are neither, and have no row."""
     from pyspark.sql import Window
 
     c = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
