@@ -3,21 +3,21 @@
 P(w | v) = P(class(w) | class(v)) * P(w | class(w)); a text begins after a boundary that has a
 class of its own. Words are the lower-cased runs of letters, digits and underscores.
 
-Every word of the corpus has a count, a class and an emission of its own (``train_whole``), in
-tables that are dealt to parts by the word's hash and grow with the corpus; a batch of texts asks
-the parts for its words by a shuffle, and no table of words is broadcast or collected. There are
-``CLASSES`` classes at any size. Where a caller gives ``vocabulary`` or ``buckets``, the model is
-one of bounded size (``train``): that many frequent words have a symbol each, and all others share
-the buckets by their hash.
+Every word of the corpus has a count, a class and an emission of its own. Words are dealt by
+their hash to parts, whose number follows the corpus; a batch of texts asks the parts for its
+words by a shuffle, and no table of words is broadcast or collected. A word's number is its part
+and its place there, frequent words first. There are ``CLASSES`` classes at any size.
 
 Classes come from the exchange algorithm: each word moves to the class that raises the likelihood
-of the corpus most, exactly reckoned against the class counts at hand. Parts are visited in
+of the corpus most, exactly reckoned against the class counts at hand. A pass visits the parts in
 parallel against the same class counts; within a part frequent words go one by one, rare ones
-``_TOGETHER`` at a time; after each pass the counts are made anew, and the best assignment so far
-is kept.
+``_TOGETHER`` at a time. After a pass the counts are made anew, and the best assignment so far is
+kept. After ``_FREE`` passes a word may move only if a hash of it and the pass allows, which it
+does for one in two: so words that would change places with each other don't, and passes go on
+raising the likelihood however many parts there are.
 
 Transitions are smoothed towards the class frequencies (weight ``PRIOR``), emissions by
-``ADD`` for each symbol.
+``ADD`` for each word.
 
 Defined results: a null or empty text, or one without words, has 0 words, log probability 0 and
 a null perplexity; all texts are read whole; repeated rows count, and are scored, each; ties of
@@ -33,81 +33,61 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import fresh, kept_names, own, quoted, written
-from .textops import Words, bounded, lazily
+from .frames import cleared, fresh, kept_names, own, quoted, written
+from .textops import Words, bounded, lazily, mix
 
 #: Production parameters.
-VOCABULARY, BUCKETS, CLASSES, PASSES, PRIOR, ADD = 65_536, 4_096, 64, 4, 50.0, 0.5
-_BLOCK = 1_000_000
-#: Counted keys that a task holds before it hands them on; words of text, and the most parts, of a count.
-_HOLD, _SHARE, _PARTS = 1_500_000, 600_000, 4_096
-
-
-class _Counter:
-    """Sums counts by a 64-bit key; hands them on when there are many."""
+CLASSES, PASSES, PRIOR, ADD = 64, 5, 50.0, 0.5
+#: Characters taken to words at once; words of a batch of texts; words of text for each part.
+_BLOCK, _BATCH, _SHARE = 1_000_000, 2_000_000, 1_000_000
+#: Tasks of a shuffle at most; a task goes through its parts one by one.
+_TASKS = 20_000
+#: Words that stand more often are visited one by one; others so many together, in chunks of places.
+_OFTEN, _TOGETHER, _CHUNK = 1_000, 1_000, 10_000
+#: Passes in which all words may move; counts up to which gains are looked up.
+_FREE, _SMALL = 2, 12
 
-    def __init__(self):
-        self.keys, self.counts, self.size = [], [], 0
+_KEYED = "part bigint, side bigint, blob binary"
+_OWN, _ROWS = -1, -2
 
-    def add(self, keys: np.ndarray) -> None:
-        k = np.sort(keys)
-        cut = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
-        self.keys.append(k[cut])
-        self.counts.append(np.diff(np.append(cut, len(k))))
-        self.size += len(cut)
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        k, n = _summed(np.concatenate(self.keys), np.concatenate(self.counts))
-        self.keys, self.counts, self.size = [k], [n], len(k)
-        return k, n
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))) if x.dtype.kind in "iu" else x
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending keys and their counts: steps between keys, byte by byte place, compressed."""
+def _dump(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers from 0: no wider than they must be, byte place by byte place, compressed."""
     import zstandard
 
-    steps = np.diff(keys, prepend=np.uint64(0))
-    planes = [x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (steps, counts)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    held = []
+    for x in map(_narrow, arrays):
+        held.append((x.dtype.str, x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()))
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(held, pickle.HIGHEST_PROTOCOL))
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _load(blob: bytes) -> list[np.ndarray]:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    steps, counts = (np.ascontiguousarray(x.reshape(8, -1).T).view("<u8").ravel() for x in np.split(raw, 2))
-    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    k, n = keys[order], counts[order]
-    cut = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
-    return k[cut], np.add.reduceat(n, cut) if len(cut) else n
+    out = []
+    for kind, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel())
+    return out
 
 
-def _dealt(keys: np.ndarray, counts: np.ndarray, part: np.ndarray, side: int) -> Iterator[pa.RecordBatch]:
-    """A row for each part that has keys; keys ascend within a part."""
-    if not len(keys):
-        return
-    order = np.argsort(part, kind="stable")
-    part, keys, counts = part[order], keys[order], counts[order]
-    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    stop = np.append(cut[1:], len(part))
-    blobs = [_pack(keys[a:b], counts[a:b]) for a, b in zip(cut, stop)]
-    yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(np.full(len(cut), side, np.int32)), pa.array(blobs, pa.binary())], ["part", "side", "blob"])
+def _wide(blob: bytes) -> list[np.ndarray]:
+    return [x.astype(np.int64) for x in _load(blob)]
 
 
-_ROW = "part int, side int, blob binary"
+def _rows(part: list, side: list, blob: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(side, pa.int64()), pa.array(blob, pa.binary())], ["part", "side", "blob"])
 
 
-def _by_part(rows: DataFrame, parts: int, each, kind: str) -> DataFrame:
+def _by_part(rows: DataFrame, parts: int, each, kind: str = _KEYED) -> DataFrame:
     """each(part, [(side, blob)]) for every part, all of whose rows come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,86 +102,244 @@ def _by_part(rows: DataFrame, parts: int, each, kind: str) -> DataFrame:
         if some:
             yield from each(now, some)
 
-    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, kind)
+    return rows.repartition(max(1, min(parts, _TASKS)), "part").sortWithinPartitions("part").mapInArrow(run, kind)
 
 
-def _counts(text: DataFrame, keys, part_of) -> DataFrame:
-    """text: one string column. Rows of packed counts of the keys that keys(texts) gives, by part."""
+def _each_row(rows: DataFrame, each, kind: str = _KEYED) -> DataFrame:
+    """each(part, side, blob) for every row."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, some in bounded(range(batch.num_rows), lazily(batch.column(0)), _BLOCK):
-                counter.add(keys(some))
-                if counter.size > _HOLD:
-                    k, n = counter.merged()
-                    if counter.size > _HOLD // 2:
-                        yield from _dealt(k, n, part_of(k), 0)
-                        counter = _Counter()
-        k, n = counter.merged()
-        yield from _dealt(k, n, part_of(k), 0)
+            for k in range(batch.num_rows):
+                yield from each(*(batch.column(c)[k].as_py() for c in ("part", "side", "blob")))
+
+    return rows.select("part", "side", "blob").mapInArrow(run, kind)
 
-    return text.mapInArrow(count, _ROW)
 
+def _split(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by part, and where each part's begin in it (one more than parts)."""
+    order = np.argsort(part, kind="stable")
+    return order, np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
 
-def _merged(some: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    held = [_unpack(blob) for _, blob in some]
-    return _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
 
+def _dealt(cut: np.ndarray, side, arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each part that has some of the arrays, which are in the order of parts."""
+    some = np.flatnonzero(np.diff(cut))
+    for lo in range(0, len(some), 1_000):
+        few = some[lo : lo + 1_000].tolist()
+        yield _rows(few, [side] * len(few), [_dump(*[x[cut[p] : cut[p + 1]] for x in arrays]) for p in few])
 
-def _word_counts(text: DataFrame, parts: int) -> DataFrame:
-    """(h, n): how often each word stands in the corpus."""
 
-    def out(part: int, some: list) -> Iterator[pa.RecordBatch]:
-        k, n = _merged(some)
-        for lo in range(0, len(k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + 100_000].view(np.int64)), pa.array(n[lo : lo + 100_000])], ["h", "n"])
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Steps between ascending numbers."""
+    return np.diff(x, prepend=0)
 
-    return _by_part(_counts(text, lambda some: Words(some).hash, lambda k: (k % np.uint64(parts)).astype(np.int64)), parts, out, "h bigint, n bigint")
 
+# -- texts, words and pairs -------------------------------------------------------------------
 
-def _pair_counts(text: DataFrame, symbols, parts: int) -> DataFrame:
-    """A row for each part of the words: the counts of all pairs whose first word it has."""
 
-    def keys(some: list[str]) -> np.ndarray:
-        before, now = symbols.value.sequence(Words(some))
-        return (before * (symbols.value.boundary + 1) + now).astype(np.uint64)
+def _batches(docs: DataFrame, text: str, only: list[str]) -> DataFrame:
+    """By batch of texts. side _OWN: texts' numbers of words, the words as places among the batch's
+    distinct ones, frequent ones first, and the hashes of those; _ROWS: the rows. n: words."""
 
-    def part_of(k: np.ndarray) -> np.ndarray:
-        return (k // np.uint64(symbols.value.boundary + 1) % np.uint64(parts)).astype(np.int64)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        held: list[pa.RecordBatch] = []
+        sizes: list[np.ndarray] = []
+        hashes: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            h, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            order = np.argsort(-np.bincount(at, minlength=len(h)), kind="stable")
+            place = np.empty(len(h), np.int64)
+            place[order] = np.arange(len(h))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for b in held:
+                    stream.write_batch(b)
+            blobs = [_dump(np.concatenate(sizes), place[at], h[order]), sink.getvalue().to_pybytes()]
+            row = [pa.array([number] * 2, pa.int64()), pa.array([_OWN, _ROWS], pa.int64()), pa.array(blobs, pa.binary()), pa.array([len(at), 0], pa.int64())]
+            return pa.RecordBatch.from_arrays(row, ["part", "side", "blob", "n"])
+
+        words = 0
+        for batch in batches:
+            rest = batch.drop_columns([batch.schema.names[0]])
+            for ids, some in bounded(range(batch.num_rows), lazily(batch.column(0)), _BLOCK):
+                w = Words(some)
+                if held and words + len(w.hash) > _BATCH:
+                    yield out()
+                    number, words = number + 1, 0
+                    held.clear(), sizes.clear(), hashes.clear()
+                held.append(rest.slice(ids[0], len(ids)))
+                sizes.append(np.diff(w.first))
+                hashes.append(w.hash)
+                words += len(w.hash)
+        if held:
+            yield out()
 
-    def out(part: int, some: list) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([_pack(*_merged(some))], pa.binary())], ["part", "side", "blob"])
+    texts = docs.select(F.col(quoted(text)).alias("text_of_words"), *[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(only)])
+    return texts.mapInArrow(cut, _KEYED + ", n bigint")
 
-    return _by_part(_counts(text, keys, part_of), parts, out, _ROW)
 
+def _named(batches: DataFrame, parts: int) -> DataFrame:
+    """By part. side _OWN: hashes and counts of the part's words, by place. Other sides: the places
+    of a batch's words of the part."""
 
-@dataclass
-class Symbols:
-    """Words -> symbols: place in the sorted hashes of the vocabulary, or a bucket after them; the boundary is last."""
+    def ask(batch: int, _: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+        _, at, h = _load(blob)
+        order, cut = _split((h % np.uint64(parts)).astype(np.int64), parts)
+        yield from _dealt(cut, batch, [h[order], np.bincount(at, minlength=len(h))[order]])
+
+    def name(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        held = [(batch, *_load(blob)) for batch, blob in some]
+        k, at = np.unique(np.concatenate([h for _, h, _ in held]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n for *_, n in held])).astype(np.int64)
+        order = np.argsort(-n, kind="stable")
+        place = np.empty(len(k), np.int64)
+        place[order] = np.arange(len(k))
+        yield _rows([part], [_OWN], [_dump(k[order], n[order])])
+        lo = 0
+        for batch, h, _ in held:
+            yield _rows([part], [batch], [_dump(place[at[lo : lo + len(h)]])])
+            lo += len(h)
+
+    return _by_part(_each_row(batches.where(f"side = {_OWN}"), ask), parts, name)
+
+
+def _answered(batches: DataFrame, count: int, answers: DataFrame, parts: int, each, kind: str) -> DataFrame:
+    """each(numbers of words, the words as places, [part], [an answer's arrays for the batch's
+    words], rows) for every batch. answers: by part, side the batch."""
+    turned = answers.where("side >= 0").select(F.col("side").alias("part"), F.col("part").alias("side"), "blob")
+
+    def run(_: int, some: list) -> Iterator[pa.RecordBatch]:
+        of = dict(some)
+        size, at, h = _load(of[_OWN])
+        part = (h % np.uint64(parts)).astype(np.int64)
+        order, cut = _split(part, parts)
+        got: list[np.ndarray] = []
+        for p, blob in some:
+            if p >= 0:
+                for k, x in enumerate(_load(blob)):
+                    if k == len(got):
+                        got.append(np.zeros(len(h), np.int64))
+                    got[k][order[cut[p] : cut[p + 1]]] = x
+        yield from each(size.astype(np.int64), at.astype(np.int64), part, got, of.get(_ROWS))
+
+    return _by_part(batches.select("part", "side", "blob").union(turned), count, run, kind)
+
+
+def _before(now: np.ndarray, size: np.ndarray, boundary: int) -> np.ndarray:
+    before = np.empty_like(now)
+    before[1:] = now[:-1]
+    before[(np.cumsum(size) - size)[size > 0]] = boundary
+    return before
+
+
+def _followers(batches: DataFrame, count: int, named: DataFrame, parts: int) -> DataFrame:
+    """By part of the first word: steps of its place, part and place of the word that follows, how
+    often. Of the boundary, which stands before each text's first word, by the part after the last."""
+
+    def pairs(size, at, part, got, _) -> Iterator[pa.RecordBatch]:
+        if not len(at):
+            return
+        order = np.lexsort((got[0], part))
+        new = np.empty(len(order), np.int64)
+        new[order] = np.arange(len(order))
+        part, place, width = part[order], got[0][order], len(order) + 1
+        now = new[at]
+        k = _before(now, size, len(order)) * width + now
+        k.sort()
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        n = np.diff(np.append(first, len(k)))
+        a, b = np.divmod(k[first], width)
+        edge = np.searchsorted(a, np.append(np.searchsorted(part, np.arange(parts + 1)), len(order) + 1))
+        place = np.append(place, 0)
+        some = np.flatnonzero(np.diff(edge)).tolist()
+        for lo in range(0, len(some), 1_000):
+            few = some[lo : lo + 1_000]
+            yield _rows(few, [0] * len(few), [_dump(_steps(place[a[x:y]]), part[b[x:y]], place[b[x:y]], n[x:y]) for x, y in ((edge[p], edge[p + 1]) for p in few)])
+
+    def merge(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        yield _rows([part], [0], [_linked(*_united([_placed(blob) for _, blob in some]))])
 
-    hashes: np.ndarray
-    buckets: int
+    return _by_part(_answered(batches.where(f"side = {_OWN}"), count, named, parts, pairs, _KEYED), parts + 1, merge)
 
-    @property
-    def boundary(self) -> int:
-        return len(self.hashes) + self.buckets
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        rest = len(self.hashes) + (h % np.uint64(self.buckets)).astype(np.int64)
-        if not len(self.hashes):
-            return rest
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, rest)
+def _placed(blob: bytes) -> list[np.ndarray]:
+    """Place, other part, other place, how often."""
+    steps, *rest = _wide(blob)
+    return [np.cumsum(steps), *rest]
 
-    def sequence(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """The symbol before each word, and the word's own."""
-        now = self.of(words.hash)
-        before = np.empty_like(now)
-        before[1:] = now[:-1]
-        begin = words.first[:-1][np.diff(words.first) > 0]
-        before[begin] = self.boundary
-        return before, now
+
+def _united(held: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Equal pairs summed; by place, other part and other place."""
+    a, p, b, n = (np.concatenate([x[k] for x in held]) for k in range(4))
+    high, low = int(p.max(initial=0)) + 1, int(b.max(initial=0)) + 1
+    if (int(a.max(initial=0)) + 1) * high * low < 1 << 62:
+        key = (a * high + p) * low + b
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        a, b = np.divmod(key[first], high * low)
+        p, b = np.divmod(b, low)
+    else:
+        order = np.lexsort((b, p, a))
+        a, p, b = a[order], p[order], b[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (p[1:] != p[:-1]) | (b[1:] != b[:-1])))
+        a, p, b = a[first], p[first], b[first]
+    return a, p, b, np.add.reduceat(n[order], first) if len(first) else n
+
+
+def _linked(a: np.ndarray, p: np.ndarray, b: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs by place: steps of places, which of the distinct others, how often; the others' parts and places."""
+    low = int(b.max(initial=0)) + 1
+    other, at = np.unique(p * low + b, return_inverse=True)
+    p, b = np.divmod(other, low)
+    return _dump(_steps(a), at, n, p, b)
+
+
+def _turned(followers: DataFrame, parts: int) -> DataFrame:
+    """As followers, by part of the second word, with the words that precede it."""
+
+    def turn(part: int, _: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+        steps, at, n, p, b = _wide(blob)
+        a = np.cumsum(steps)
+        order = np.argsort(at, kind="stable")  # the others ascend by part and place
+        a, at, n = a[order], at[order], n[order]
+        cut = np.searchsorted(p[at], np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(cut)).tolist()
+        for lo in range(0, len(some), 1_000):
+            few = some[lo : lo + 1_000]
+            yield _rows(few, [part] * len(few), [_dump(_steps(b[at[cut[q] : cut[q + 1]]]), a[cut[q] : cut[q + 1]], n[cut[q] : cut[q + 1]]) for q in few])
+
+    def merge(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        held = []
+        for p, blob in some:
+            b, a, n = _wide(blob)
+            held.append([np.cumsum(b), np.full(len(a), p), a, n])
+        yield _rows([part], [1], [_linked(*_united(held))])
+
+    return _by_part(_each_row(followers, turn), parts, merge)
+
+
+def _asked(linked: DataFrame, parts: int) -> DataFrame:
+    """By part: steps of the places of its words whose classes another part needs on one side; side
+    is twice that part, plus its side."""
+
+    def ask(part: int, side: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+        if part == parts:
+            return
+        *_, p, b = _wide(blob)
+        cut = np.searchsorted(p, np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(cut)).tolist()
+        yield _rows(some, [part * 2 + side] * len(some), [_dump(_steps(b[cut[q] : cut[q + 1]])) for q in some])
+
+    return _each_row(linked, ask)
+
+
+# -- classes ----------------------------------------------------------------------------------
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -212,7 +350,6 @@ def objective(m: np.ndarray) -> float:
     """Log likelihood of the classes, up to what doesn't depend on them."""
     return float(_xlogx(m).sum() - _xlogx(m.sum(1)).sum() - _xlogx(m.sum(0)).sum())
 
-
 def exchange(words: np.ndarray, profile: np.ndarray, selves: np.ndarray, label: np.ndarray, m: np.ndarray, classes: int) -> np.ndarray:
     """One visit to each of the words. profile: words x 2 x classes + 1, how often each class
     follows (0) and precedes (1); selves: how often the word follows itself; label: their classes.
@@ -253,405 +390,62 @@ def exchange(words: np.ndarray, profile: np.ndarray, selves: np.ndarray, label:
     return label
 
 
-def _arrays(row: dict) -> tuple[np.ndarray, ...]:
-    return np.frombuffer(row["word"], np.int32), np.frombuffer(row["other"], np.int32), np.frombuffer(row["side"], np.int8), np.frombuffer(row["n"], np.int64)
-
-
-def _parts(pairs: DataFrame, size: int, parts: int) -> DataFrame:
-    """All that follows (side 0) and precedes (side 1) a word in one row of arrays, for each part of the words."""
-    width = np.uint64(size)
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch
-            for blob in batch.column("blob").to_pylist():
-                k, n = _unpack(blob)
-                turned = k % width * width + k // width
-                order = np.argsort(turned)
-                turned, n = turned[order], n[order]
-                yield from _dealt(turned, n, (turned // width % np.uint64(parts)).astype(np.int64), 1)
-
-    def out(part: int, some: list) -> Iterator[pa.RecordBatch]:
-        held = [(side, *_unpack(blob)) for side, blob in some]
-        k, n = np.concatenate([k for _, k, _ in held]), np.concatenate([n for _, _, n in held])
-        side = np.repeat(np.array([s for s, _, _ in held], np.int8), [len(k) for _, k, _ in held])
-        row = {"word": (k // width).astype(np.int32).tobytes(), "other": (k % width).astype(np.int32).tobytes(), "side": side.tobytes(), "n": n.tobytes()}
-        yield pa.RecordBatch.from_pylist([row])
-
-    return _by_part(pairs.mapInArrow(both, _ROW), parts, out, "word binary, other binary, side binary, n binary")
-
-
-def _matrix(parts: DataFrame, label, classes: int) -> np.ndarray:
-    """Counts of class pairs."""
-    width = classes + 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total = label.value, np.zeros(width * width)
-        for batch in batches:
-            for row in batch.to_pylist():
-                word, other, side, n = _arrays(row)
-                f = side == 0
-                total += np.bincount(of[word[f]].astype(np.int64) * width + of[other[f]], n[f], width * width)
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell].astype(np.int64))], ["cell", "n"])
-
-    got = parts.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    m = np.zeros(width * width)
-    m[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return m.reshape(width, width)
-
-
-def _pass(parts: DataFrame, label, m, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    width = classes + 1
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = label.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                word, other, side, n = _arrays(row)
-                words, at = np.unique(word, return_inverse=True)
-                profile = np.bincount((at * 2 + side) * width + of[other], n, len(words) * 2 * width).reshape(-1, 2, width)
-                me = (word == other) & (side == 0)
-                selves = np.bincount(at[me], n[me], len(words))
-                movable = words < len(of) - 1  # the boundary stays
-                new = exchange(words[movable], profile[movable], selves[movable], of[words[movable]], m.value.copy(), classes)
-                yield pa.RecordBatch.from_arrays([pa.array(words[movable].astype(np.int32)), pa.array(new.astype(np.int32))], ["word", "class"])
-
-    got = parts.mapInArrow(visit, "word int, class int").toArrow()
-    return got["word"].to_numpy(), got["class"].to_numpy()
-
-
-@dataclass
-class Model:
-    symbols: Symbols
-    label: np.ndarray
-    transition: np.ndarray  # log, from class x to class
-    emission: np.ndarray  # log, by symbol
-    objectives: list[float]
-
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words and log probability of each text."""
-        w = Words(texts)
-        total, n = np.zeros(len(texts)), np.diff(w.first)
-        if len(w.hash):
-            before, now = self.symbols.sequence(w)
-            p = self.transition[self.label[before], self.label[now]] + self.emission[now]
-            some = np.flatnonzero(n)
-            total[some] = np.add.reduceat(p, w.first[some])
-        return n, total
-
-
-def train(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, buckets: int = BUCKETS, classes: int = CLASSES, passes: int = PASSES, prior: float = PRIOR, add: float = ADD) -> Model:
-    """The model of all documents."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    texts = docs.select(F.col(quoted(text)).alias("text"))
-    width = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = written(_word_counts(texts, width), "words")
-    top = words.orderBy(F.desc("n"), "h").limit(vocabulary).toArrow()
-    h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(h)
-    symbols = Symbols(h[order], buckets)
-    size = symbols.boundary
-    counts, types = np.zeros(size, np.float64), np.zeros(size, np.float64)
-    counts[: len(h)], types[: len(h)] = n[order], 1
-    if len(h):
-        least, last = int(n.min()), int(top["h"].to_numpy()[n == n.min()].max())
-        # hashes are unsigned in the buckets; a signed remainder is mended
-        signed = F.expr(f"pmod(pmod(h, {buckets}) + IF(h < 0, {(1 << 64) % buckets}, 0), {buckets})")
-        rare = words.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("h") > last))) if len(h) == vocabulary else words.limit(0)
-        rest = rare.groupBy(signed.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow()
-        at = len(h) + rest["b"].to_numpy().astype(np.int64)
-        counts[at], types[at] = rest["n"].to_numpy(), rest["types"].to_numpy()
-
-    known = sc.broadcast(symbols)
-
-    share = int(min(_PARTS, max(4, -(-counts.sum() // _SHARE))))
-    pairs = written(_pair_counts(texts, known, share), "pairs")
-    parts = written(_parts(pairs, size + 1, share), "parts")
-
-    # frequent symbols first, one to each class in turn
-    label = np.empty(size + 1, np.int16)
-    label[np.lexsort((np.arange(size), -counts))] = np.arange(size) % classes
-    label[size] = classes
-    best, best_value, values = label, -np.inf, []
-    for k in range(passes + 1):
-        shared = sc.broadcast(label)
-        m = _matrix(parts, shared, classes)
-        values.append(objective(m))
-        if values[-1] > best_value:
-            best, best_value, best_m = label, values[-1], m
-        if k == passes:
-            break
-        word, new = _pass(parts, shared, sc.broadcast(m), classes)
-        moved = label.copy()
-        moved[word] = new
-        if (moved == label).all():
-            break
-        label = moved
-
-    m, label = best_m, best
-    transition = _transition(m, prior)
-    of = label[:size].astype(np.int64)
-    spread = np.where(np.arange(size) < len(h), 1.0, np.maximum(types, 1.0))
-    total = np.bincount(of, counts + add, classes + 1)
-    emission = np.append(np.log((counts + add) / total[of] / spread), 0.0)
-    return Model(symbols, label, transition, emission, values)
-
-
-_SCORE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType())])
-
-
-def score(text: Column, model) -> Column:
-    """Struct of words and log probability. model: a broadcast of one."""
-
-    def make(texts: pa.Array) -> pa.Array:
-        n, p = [np.empty(0, np.int64)], [np.empty(0)]
-        for _, some in bounded(range(len(texts)), lazily(texts), _BLOCK):
-            a, b = model.value.score(some)
-            n.append(a)
-            p.append(b)
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(np.concatenate(p))], ["n_words", "log_prob"])
-
-    return F.arrow_udf(make, _SCORE).asNondeterministic()(text)
-
-
-# The model of all words. A word's number is its place among the words of its part times the
-# number of parts, plus the part; nothing here is held whole by the driver or by one worker.
-
-_KEYED = "part bigint, side bigint, blob binary"
-#: Characters of text for each part of the words, and of a batch of texts.
-_CHARS, _BATCH = 8_000_000, 2_000_000
-#: Words that stand more often are visited one by one; others so many together.
-_OFTEN, _TOGETHER, _CHUNK = 1_000, 1_000, 10_000
-
-
-def _dump(*arrays: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, pickle.HIGHEST_PROTOCOL))
-
-
-def _load(blob: bytes) -> tuple[np.ndarray, ...]:
-    import zstandard
-
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
-
-
-def _rows(part: list, side: list, blob: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(side, pa.int64()), pa.array(blob, pa.binary())], ["part", "side", "blob"])
-
-
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
-
-
-def _each_row(rows: DataFrame, each, kind: str = _KEYED) -> DataFrame:
-    """each(part, side, blob) for every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield from each(*(batch.column(c)[k].as_py() for c in ("part", "side", "blob")))
-
-    return rows.select("part", "side", "blob").mapInArrow(run, kind)
-
-
-def _split(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by part, and where each part's begin in it (one more than parts)."""
-    order = np.argsort(part, kind="stable")
-    return order, np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
-
-
-def _batches(numbered: DataFrame, rid: str, text: str) -> DataFrame:
-    """A row for each batch of texts, keyed by its first row's number: the rows' numbers, their
-    numbers of words, the words as places among the batch's distinct ones, and those."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, some in bounded(batch.column(0).to_pylist(), lazily(batch.column(1)), _BATCH):
-                w = Words(some)
-                h, at = np.unique(w.hash, return_inverse=True)
-                yield _rows([ids[0]], [-1], [_dump(np.array(ids, np.int64), _narrow(np.diff(w.first)), _narrow(at), h)])
-
-    return numbered.select(rid, F.col(quoted(text))).mapInArrow(cut, _KEYED)
-
-
-def _named(batches: DataFrame, parts: int) -> DataFrame:
-    """By part. side -1: the part's words in order, and how often each stands. Other sides: a
-    batch's words of the part, as places."""
-
-    def ask(batch: int, _: int, blob: bytes) -> Iterator[pa.RecordBatch]:
-        _, _, at, h = _load(blob)
-        if len(h):
-            n = np.bincount(at, minlength=len(h))
-            order, cut = _split((h % np.uint64(parts)).astype(np.int64), parts)
-            some = np.flatnonzero(np.diff(cut)).tolist()
-            yield _rows(some, [batch] * len(some), [_pack(h[order[cut[p] : cut[p + 1]]], n[order[cut[p] : cut[p + 1]]]) for p in some])
-
-    def name(part: int, some: list) -> Iterator[pa.RecordBatch]:
-        held = [(batch, *_unpack(blob)) for batch, blob in some if batch >= 0]
-        if not held:
-            k, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-        else:
-            k, n = _summed(np.concatenate([x for _, x, _ in held]), np.concatenate([x for _, _, x in held]))
-        yield _rows([part], [-1], [_dump(k, n)])
-        for batch, h, _ in held:
-            yield _rows([part], [batch], [_dump(_narrow(np.searchsorted(k, h)))])
-
-    every = batches.sparkSession.range(parts).select(F.col("id").alias("part"), F.lit(-1).cast("bigint").alias("side"), F.lit(b"").alias("blob"))
-    return _by_part(_each_row(batches, ask).union(every), parts, name, _KEYED)
-
-
-def _answered(batches: DataFrame, answers: DataFrame, parts: int, each, kind: str) -> DataFrame:
-    """each(rows' numbers, numbers of words, the words as places, [part], [an answer's arrays for
-    the batch's words of the part]) for every batch. answers: by part, side the batch."""
-    turned = answers.where("side >= 0").select(F.col("side").alias("part"), F.col("part").alias("side"), "blob")
-
-    def run(_: int, some: list) -> Iterator[pa.RecordBatch]:
-        (own,) = [blob for side, blob in some if side < 0]
-        ids, size, at, h = _load(own)
-        order, cut = _split((h % np.uint64(parts)).astype(np.int64), parts)
-        got = []
-        for part, blob in some:
-            if part >= 0:
-                for k, x in enumerate(_load(blob)):
-                    if k == len(got):
-                        got.append(np.zeros(len(h), np.float64 if x.dtype.kind == "f" else np.int64))
-                    got[k][order[cut[part] : cut[part + 1]]] = x
-        yield from each(ids, size.astype(np.int64), at.astype(np.int64), (h % np.uint64(parts)).astype(np.int64), got)
-
-    return _by_part(batches.select("part", "side", "blob").union(turned), parts, run, kind)
-
-
-def _before(now: np.ndarray, size: np.ndarray, boundary: int) -> np.ndarray:
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    before[(np.cumsum(size) - size)[size > 0]] = boundary
-    return before
-
-
-def _all_pairs(batches: DataFrame, named: DataFrame, parts: int, boundary: int) -> DataFrame:
-    """By part: word, other, how often; side 0: other follows the word, 1: other precedes it."""
-
-    def count(_, size, at, part, got) -> Iterator[pa.RecordBatch]:
-        if not len(at):
-            return
-        now = (got[0] * parts + part)[at]
-        pair = np.stack([_before(now, size, boundary), now], 1)
-        order = np.lexsort((pair[:, 1], pair[:, 0]))
-        pair = pair[order]
-        new = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]).any(1)))
-        pair, n = pair[new], np.diff(np.append(new, len(order)))
-        for side in (0, 1):
-            word, other = pair[:, side], pair[:, 1 - side]
-            order, cut = _split(word % parts, parts)
-            some = np.flatnonzero(np.diff(cut)).tolist()
-            yield _rows(some, [side] * len(some), [_packed_pairs(word[order[cut[p] : cut[p + 1]]] // parts, other[order[cut[p] : cut[p + 1]]], n[order[cut[p] : cut[p + 1]]]) for p in some])
-
-    def merge(part: int, some: list) -> Iterator[pa.RecordBatch]:
-        for side in (0, 1):
-            held = [_load(blob) for s, blob in some if s == side]
-            if held:
-                word, other, n = (np.concatenate([x[k] for x in held]).astype(np.int64) for k in range(3))
-                yield _rows([part], [side], [_packed_pairs(word, other, n)])
-
-    return _by_part(_answered(batches, named, parts, count, _KEYED), parts, merge, _KEYED)
-
-
-def _packed_pairs(word: np.ndarray, other: np.ndarray, n: np.ndarray) -> bytes:
-    """Equal pairs summed."""
-    order = np.lexsort((other, word))
-    word, other = word[order], other[order]
-    new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (other[1:] != other[:-1])))
-    return _dump(_narrow(word[new]), _narrow(other[new]), _narrow(np.add.reduceat(n[order], new)))
-
-
-def _profiles(pairs: DataFrame, labels: DataFrame, parts: int, width: int) -> DataFrame:
-    """By part: (place, side, class), how often the class follows (0) and precedes (1) the word.
-    side -1: the part's labels. Each part tells the others the classes of its words."""
-
-    def tell(part: int, some: list) -> Iterator[pa.RecordBatch]:
-        (label,) = [_load(blob)[0] for side, blob in some if side == 2]
-        yield _rows([part], [-1], [_dump(label)])
-        for side, blob in some:
-            if side != 2:
-                word, other, n = (x.astype(np.int64) for x in _load(blob))
-                # a word that other follows precedes it
-                key = (other // parts * 2 + (1 - side)) * width + label[word]
-                order, cut = _split(other % parts, parts)
-                some_parts = np.flatnonzero(np.diff(cut)).tolist()
-                blobs = [_pack(*_summed(key[order[cut[p] : cut[p + 1]]].astype(np.uint64), n[order[cut[p] : cut[p + 1]]])) for p in some_parts]
-                yield _rows(some_parts, [0] * len(some_parts), blobs)
-
-    def merge(part: int, some: list) -> Iterator[pa.RecordBatch]:
-        yield _rows([part], [-1], [blob for side, blob in some if side == -1])
-        held = [(side, blob) for side, blob in some if side == 0]
-        if held:
-            yield _rows([part], [0], [_pack(*_merged(held))])
-
-    told = _by_part(pairs.union(labels.select("part", F.lit(2).cast("bigint").alias("side"), "blob")), parts, tell, _KEYED)
-    return _by_part(told, parts, merge, _KEYED)
-
-
-def _profile_matrix(profiles: DataFrame, parts: int, width: int) -> np.ndarray:
-    """Counts of class pairs."""
-
-    def count(part: int, some: list) -> Iterator[pa.RecordBatch]:
-        (label,) = [_load(blob)[0] for side, blob in some if side == -1]
-        for side, blob in some:
-            if side == 0:
-                k, n = _unpack(blob)
-                k = k.astype(np.int64)
-                f = k // width % 2 == 0
-                total = np.bincount(label[k[f] // (2 * width)].astype(np.int64) * width + k[f] % width, n[f], width * width)
-                cell = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell].astype(np.int64))], ["cell", "n"])
-
-    got = _by_part(profiles, parts, count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    m = np.zeros(width * width)
-    m[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return m.reshape(width, width)
+def _looked_up(base: np.ndarray) -> np.ndarray:
+    """[n - 1, c, k]: what _xlogx of base[k, c] gains by n more."""
+    grown = _xlogx(base.T[None] + np.arange(_SMALL + 1)[:, None, None])
+    return grown[1:] - grown[0]
 
 
 def exchange_together(profile: np.ndarray, selves: np.ndarray, label: np.ndarray, m: np.ndarray, classes: int) -> np.ndarray:
     """As exchange, but all of the words are visited against the same m, which then gets their moves."""
-    n, width = len(label), classes + 1
+    n = len(label)
     at, k = np.arange(n), np.arange(classes)
     a, s = label.astype(np.int64), selves
     r, left = profile[:, 0].copy(), profile[:, 1].copy()
     rho, lam = r.sum(1), left.sum(1)
-    full = profile.copy()
     r[at, a] -= s
     left[at, a] -= s
     gain = np.zeros((n, classes))
-    for mine, theirs, base in ((r, full[:, 1], m[:classes]), (left, full[:, 0], m[:, :classes].T)):
-        # base[k, c]: the counts of class k with c; the word is taken out of its own class. mine
-        # lacks what it is beside itself, theirs has it, so that is taken out of its cell once
+    for mine, theirs, base in ((r, profile[:, 1], m[:classes]), (left, profile[:, 0], m[:, :classes].T)):
+        # base[k, c]: the counts of class k with c. Where a word has few of c that gain is looked
+        # up; the word is taken out of its own class's row, and out of its class's column where
+        # c is that. mine lacks what the word is beside itself, theirs has it, so that is taken
+        # out of its cell once
         w, c = np.nonzero(mine)
-        x = base[:, c].T.copy()
-        e, own = np.arange(len(w)), np.flatnonzero(c == a[w])
-        x[e, a[w]] -= mine[w, c]
-        x[own] -= theirs[w[own], :classes]
-        part = _xlogx(x + mine[w, c][:, None]) - _xlogx(x)
-        if len(w):
-            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-            gain[w[first]] += np.add.reduceat(part, first)
+        if not len(w):
+            continue
+        x, table = mine[w, c], _looked_up(base)
+        part = table[np.minimum(x, _SMALL).astype(np.int64) - 1, c]
+        large = np.flatnonzero(x > _SMALL)
+        b = base[:, c[large]].T
+        part[large] = _xlogx(b + x[large, None]) - _xlogx(b)
+        own = np.flatnonzero(c == a[w])
+        b = base[:, c[own]].T - theirs[w[own], :classes]
+        part[own] = _xlogx(b + x[own, None]) - _xlogx(b)
+        mine_class = base[a[w], c]
+        mine_class[own] -= theirs[w[own], a[w[own]]]
+        part[np.arange(len(w)), a[w]] = _xlogx(mine_class) - _xlogx(mine_class - x)
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        gain[w[first]] += np.add.reduceat(part, first)
     own = np.repeat(m[k, k][None], n, 0)
     own[at, a] -= r[at, a] + left[at, a] + s
     rk, lk = r[:, :classes], left[:, :classes]
-    out, into = np.repeat(m.sum(1)[None, :classes], n, 0), np.repeat(m.sum(0)[None, :classes], n, 0)
-    out[at, a] -= rho
-    into[at, a] -= lam
-    gain += _xlogx(own + rk + lk + s[:, None]) - _xlogx(own + rk) - _xlogx(own + lk) + _xlogx(own)
-    gain -= _xlogx(out + rho[:, None]) - _xlogx(out) + _xlogx(into + lam[:, None]) - _xlogx(into)
+    both = own + rk
+    for_class = np.flatnonzero(((rk != 0) | (lk != 0)).ravel() | (s[:, None] != 0).repeat(classes, 1).ravel())
+    o, b, l, t = own.ravel()[for_class], both.ravel()[for_class], lk.ravel()[for_class], s.repeat(classes)[for_class]
+    gain.ravel()[for_class] += _xlogx(b + l + t) - _xlogx(b) - _xlogx(o + l) + _xlogx(o)
+    for total, x in ((m.sum(1)[:classes], rho), (m.sum(0)[:classes], lam)):
+        u, back = np.unique(x, return_inverse=True)
+        cost = _xlogx(total + u[:, None]) - _xlogx(np.broadcast_to(total, (len(u), classes)))
+        gain -= cost[back]
+        gain[at, a] += cost[back, a] - (_xlogx(total[a]) - _xlogx(total[a] - x))
     best = gain.argmax(1)
     best = np.where(gain[at, best] <= gain[at, a] + 1e-9, a, best)
     go = np.flatnonzero(best != a)
     if len(go):
-        b, f = best[go], a[go]
-        np.subtract.at(m, f, full[go, 0])
-        np.subtract.at(m.T, f, full[go, 1])
+        b, f, full = best[go], a[go], profile[go]
+        np.subtract.at(m, f, full[:, 0])
+        np.subtract.at(m.T, f, full[:, 1])
         np.add.at(m, (f, f), s[go])
         np.add.at(m, b, r[go])
         np.add.at(m.T, b, left[go])
@@ -659,169 +453,217 @@ def exchange_together(profile: np.ndarray, selves: np.ndarray, label: np.ndarray
     return best
 
 
-def _moved(profiles: DataFrame, m, parts: int, classes: int, boundary: int) -> DataFrame:
-    """By part: the labels after a visit to each word, in chunks of them."""
+def _told(part: int, label: np.ndarray, some: list) -> Iterator[pa.RecordBatch]:
+    """A part's labels, and to each part that asked the classes of the words it asked for."""
+    yield _rows([part], [_OWN], [_dump(label)])
+    asks = [(side, blob) for side, blob in some if side >= 0]
+    for lo in range(0, len(asks), 1_000):
+        few = asks[lo : lo + 1_000]
+        yield _rows([side // 2 for side, _ in few], [part * 2 + side % 2 for side, _ in few], [_dump(label[np.cumsum(_wide(blob)[0])]) for _, blob in few])
+
+
+def _begun(counted: DataFrame, asked: DataFrame, parts: int, classes: int) -> DataFrame:
+    """First labels, and what parts tell each other of them."""
+
+    def begin(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        ((_, n),) = [_load(blob) for side, blob in some if side == _OWN]
+        yield from _told(part, (np.arange(len(n)) + part) % classes, some)  # frequent words first, one to each class in turn
+
+    return _by_part(counted.union(asked), parts, begin)
+
+
+def _profiles(linked: DataFrame, told: DataFrame, parts: int, classes: int) -> DataFrame:
+    """By part: labels; steps of (place, side, class) and how often the class follows (0) and
+    precedes (1) the word; places of words that follow themselves and how often."""
     width = classes + 1
 
-    def visit(part: int, some: list) -> Iterator[pa.RecordBatch]:
-        (label,) = [_load(blob)[0] for side, blob in some if side == -1]
-        label, now = label.copy(), m.value.copy()
-        for side, blob in some:
+    def profile(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        (label,) = [_wide(blob)[0] for side, blob in some if side == _OWN]
+        size, sides, selves = len(label), [], (np.empty(0, np.int64),) * 2
+        for side in (0, 1):
+            held = [_wide(blob) for k, blob in some if k == side - 4]
+            if not held:
+                continue
+            steps, at, n, p, b = held[0]
+            a = np.cumsum(steps)
+            got = [_wide(blob)[0] for _, blob in sorted((k, blob) for k, blob in some if k >= 0 and k % 2 == side)]
+            of = np.concatenate([*got, np.full(int((p == parts).sum()), classes, np.int64)])
+            sides.append((side, a, of[at], n))
             if side == 0:
-                k, n = _unpack(blob)
-                k = k.astype(np.int64)
-                for lo in range(0, len(label), _CHUNK):
-                    hi = min(len(label), lo + _CHUNK)
-                    a, b = np.searchsorted(k, [lo * 2 * width, hi * 2 * width])
-                    profile = np.bincount(k[a:b] - lo * 2 * width, n[a:b], (hi - lo) * 2 * width).reshape(-1, 2, width)
-                    selves = _selves(some, lo, hi, part, parts)
-                    size = profile.sum((1, 2))
-                    order = np.argsort(-size, kind="stable")
-                    order = order[(size[order] > 0) & ((order + lo) * parts + part != boundary)]
-                    often = order[size[order] > _OFTEN]
-                    label[lo + often] = exchange(often, profile[often], selves[often], label[lo + often], now, classes)
-                    rest = order[len(often) :]
-                    for x in range(0, len(rest), _TOGETHER):
-                        w = rest[x : x + _TOGETHER]
-                        label[lo + w] = exchange_together(profile[w], selves[w], label[lo + w], now, classes)
-        yield _rows([part], [-1], [_dump(label)])
-
-    return _by_part(profiles, parts, visit, _KEYED)
-
-
-def _selves(some: list, lo: int, hi: int, part: int, parts: int) -> np.ndarray:
-    """How often words follow themselves."""
-    out = np.zeros(hi - lo)
-    for side, blob in some:
-        if side == 1:
-            at, n = _load(blob)
-            f = (at >= lo) & (at < hi)
-            out[at[f]- lo] += n[f]
-    return out
+                me = np.flatnonzero((p[at] == part) & (b[at] == a))
+                selves = a[me], n[me]
+        keys, counts = [], []
+        for lo in range(0, size, _CHUNK):
+            total = np.zeros(_CHUNK * 2 * width)
+            for side, a, of, n in sides:
+                x, y = np.searchsorted(a, [lo, lo + _CHUNK])
+                total += np.bincount(((a[x:y] - lo) * 2 + side) * width + of[x:y], n[x:y], len(total))
+            cell = np.flatnonzero(total)
+            keys.append(cell + lo * 2 * width)
+            counts.append(total[cell].astype(np.int64))
+        keys, counts = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, counts))
+        yield _rows([part], [_OWN], [_dump(label, _steps(keys), counts, *selves)])
+
+    statics = linked.where(f"part < {parts}").select("part", (F.col("side") - 4).alias("side"), "blob")
+    return _by_part(statics.union(told), parts, profile)
+
+
+def _matrix(profiles: DataFrame, width: int) -> np.ndarray:
+    """Counts of class pairs: every word is preceded once each time it stands."""
+
+    def count(_: int, __: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+        label, steps, n, *_ = _wide(blob)
+        k = np.cumsum(steps)
+        f = k // width % 2 == 1
+        total = np.bincount(k[f] % width * width + label[k[f] // (2 * width)], n[f], width * width)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell].astype(np.int64))], ["cell", "n"])
+
+    got = _each_row(profiles, count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    m = np.zeros(width * width)
+    m[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return m.reshape(width, width)
+
+
+def _moved(profiles: DataFrame, asked: DataFrame, m, turn: int, parts: int, classes: int) -> DataFrame:
+    """Labels after a visit to each word, and what parts tell each other of them."""
+    width = classes + 1
 
+    def visit(part: int, some: list) -> Iterator[pa.RecordBatch]:
+        (blob,) = [blob for side, blob in some if side == _OWN]
+        label, steps, n, self_at, self_n = _wide(blob)
+        k, now = np.cumsum(steps), m.value.copy()
+        for lo in range(0, len(label), _CHUNK):
+            hi = min(len(label), lo + _CHUNK)
+            a, b = np.searchsorted(k, [lo * 2 * width, hi * 2 * width])
+            profile = np.bincount(k[a:b] - lo * 2 * width, n[a:b], (hi - lo) * 2 * width).reshape(-1, 2, width)
+            selves = np.zeros(hi - lo)
+            f = (self_at >= lo) & (self_at < hi)
+            selves[self_at[f] - lo] = self_n[f]
+            may = mix((np.arange(lo, hi) * parts + part).astype(np.uint64) + np.uint64(turn << 48)) % np.uint64(2) >= np.uint64(turn >= _FREE)
+            often = int((profile.sum((1, 2)) > _OFTEN).sum())  # places go by frequency
+            one = np.flatnonzero(may[:often])
+            label[lo + one] = exchange(one, profile[one], selves[one], label[lo + one], now, classes)
+            rest = often + np.flatnonzero(may[often:])
+            for x in range(0, len(rest), _TOGETHER):
+                w = rest[x : x + _TOGETHER]
+                label[lo + w] = exchange_together(profile[w], selves[w], label[lo + w], now, classes)
+        yield from _told(part, label, some)
+
+    return _by_part(profiles.union(asked), parts, visit)
 
-def _own_pairs(pairs: DataFrame, parts: int) -> DataFrame:
-    def each(part: int, side: int, blob: bytes) -> Iterator[pa.RecordBatch]:
-        if side == 0:
-            word, other, n = (x.astype(np.int64) for x in _load(blob))
-            f = word * parts + part == other
-            yield _rows([part], [1], [_dump(word[f], n[f])])
 
-    return _each_row(pairs, each)
+def _transition(m: np.ndarray, prior: float) -> np.ndarray:
+    share = (m.sum(0) + 1.0) / (m.sum(0) + 1.0).sum()
+    return np.log((m + prior * share) / (m.sum(1, keepdims=True) + prior))
 
 
 @dataclass
-class Whole:
-    """The model of all words. words: by part, a row of hashes, counts and classes of the part's words."""
+class Model:
+    """words: by part, a row of hashes, counts and classes of the part's words."""
 
     words: DataFrame
     batches: DataFrame
+    count: int  # of batches
     named: DataFrame
     parts: int
-    boundary: int
-    transition: np.ndarray
+    transition: np.ndarray  # log, from class to class
     totals: np.ndarray  # of counts and what is added to them, by class
     add: float
     objectives: list[float]
 
-    def scores(self) -> DataFrame:
-        """(id, n, p): words and log probability of each row."""
+    def scores(self, schema: T.StructType, n: str, p: str) -> DataFrame:
+        """The rows of the table with words and log probability of each."""
         parts, add, last = self.parts, self.add, len(self.transition) - 1
         shared = self.batches.sparkSession.sparkContext.broadcast((self.transition, np.log(self.totals)))
 
         def answer(part: int, some: list) -> Iterator[pa.RecordBatch]:
-            ((_, n, label),) = [_load(blob) for side, blob in some if side == -2]
-            emission = np.log(n + add) - shared.value[1][label]
-            for side, blob in some:
-                if side >= 0:
-                    at = _load(blob)[0]
-                    yield _rows([part], [side], [_dump(label[at], emission[at])])
-
-        def add_up(ids, size, at, part, got) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(ids))
+            ((_, n, label),) = [_load(blob) for side, blob in some if side == _ROWS]
+            asks = [(side, blob) for side, blob in some if side >= 0]
+            for lo in range(0, len(asks), 1_000):
+                few = [(side, _load(blob)[0]) for side, blob in asks[lo : lo + 1_000]]
+                yield _rows([part] * len(few), [side for side, _ in few], [_dump(label[at], n[at]) for _, at in few])
+
+        def add_up(size, at, part, got, rows) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(size))
             if len(at):
-                now = got[0][at]
-                p = shared.value[0][_before(now, size, last), now] + got[1][at]
+                label, n = got
+                emission = np.log(n + add) - shared.value[1][label]
+                now = label[at]
+                each = shared.value[0][_before(now, size, last), now] + emission[at]
                 some = np.flatnonzero(size)
-                total[some] = np.add.reduceat(p, (np.cumsum(size) - size)[some])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(total)], ["id", "n", "p"])
-
-        both = self.named.where("side >= 0").union(self.words)
-        return _answered(self.batches, _by_part(both, parts, answer, _KEYED), parts, add_up, "id bigint, n bigint, p double")
-
-
-def train_whole(numbered: DataFrame, rid: str, text: str = "text", classes: int = CLASSES, passes: int = PASSES, prior: float = PRIOR, add: float = ADD) -> Whole:
-    """The model of all documents and of every word in them. rid: numbers of the rows, each once."""
-    sc = numbered.sparkSession.sparkContext
+                total[some] = np.add.reduceat(each, (np.cumsum(size) - size)[some])
+            lo = 0
+            for b in pa.ipc.open_stream(rows):
+                hi = lo + b.num_rows
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size[lo:hi]), pa.array(total[lo:hi])], [*b.schema.names, n_name, p_name])
+                lo = hi
+
+        n_name, p_name = n, p
+        answers = _by_part(self.named.where("side >= 0").union(self.words), parts, answer)
+        kind = T.StructType([*[T.StructField(f"c{k}", f.dataType) for k, f in enumerate(schema.fields)], T.StructField(n, T.LongType()), T.StructField(p, T.DoubleType())])
+        return _answered(self.batches.select("part", "side", "blob"), self.count, answers, parts, add_up, kind).toDF(*schema.names, n, p)
+
+
+def train(docs: DataFrame, text: str = "text", only: list[str] | None = None, classes: int = CLASSES, passes: int = PASSES, prior: float = PRIOR, add: float = ADD) -> Model:
+    """The model of all documents and of every word in them."""
+    sc = docs.sparkSession.sparkContext
     width = classes + 1
-    size = numbered.agg(F.sum(F.length(F.col(quoted(text))))).first()[0] or 0
-    parts = max(4, -(-size // _CHARS))
-    batches = written(_batches(numbered, rid, text), "batches")
+    batches = written(_batches(docs, text, docs.columns if only is None else only), "batches")
+    count, words = batches.where(f"side = {_OWN}").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = max(4, -(-words // _SHARE))
     named = written(_named(batches, parts), "named")
-    counted = named.where("side = -1")
-    first = counted.where("part = 0").first()
-    # the boundary is numbered after the words of part 0
-    boundary = len(_load(first["blob"])[0]) * parts
-    pairs = written(_all_pairs(batches, named, parts, boundary), "pairs")
-    selves = written(_own_pairs(pairs, parts), "selves")
-
-    def begin(part: int, _: int, blob: bytes) -> Iterator[pa.RecordBatch]:
-        _, n = _load(blob)
-        label = np.empty(len(n), np.int16)
-        # frequent words first, one to each class in turn
-        label[np.argsort(-n, kind="stable")] = (np.arange(len(n)) + part) % classes
-        yield _rows([part], [-1], [_dump(np.append(label, np.int16(classes)) if part == 0 else label)])
-
-    labels = written(_each_row(counted, begin), "labels")
+    counted = named.where(f"side = {_OWN}")
+    followers = written(_followers(batches, count, named, parts), "followers")
+    preceders = written(_turned(followers, parts), "preceders")
+    linked = followers.union(preceders)
+    asked = written(_asked(linked, parts), "asked")
+    cleared(docs.sparkSession)
+    told = written(_begun(counted, asked, parts, classes), "told")
     best_value, values = -np.inf, []
     for k in range(passes + 1):
-        profiles = written(_profiles(pairs, labels, parts, width), "profiles")
-        m = _profile_matrix(profiles, parts, width)
+        profiles = written(_profiles(linked, told, parts, classes), "profiles")
+        m = _matrix(profiles, width)
         values.append(objective(m))
+        over = [profiles]
         if values[-1] > best_value:
-            best, best_value, best_m = labels, values[-1], m
+            over += [best] if k else []
+            best, best_value, best_m = told, values[-1], m
+        elif k < passes:
+            over.append(told)
         if k < passes:
-            labels = written(_moved(profiles.union(selves), sc.broadcast(m), parts, classes, boundary), "labels")
+            told = written(_moved(profiles, asked, sc.broadcast(m), k, parts, classes), "told")
+        cleared(docs.sparkSession, *over)
+    cleared(docs.sparkSession, followers, preceders, asked)
 
     def classed(part: int, some: list) -> Iterator[pa.RecordBatch]:
-        (k, n), (label,) = (next(_load(blob) for side, blob in some if side == s) for s in (-1, 2))
-        yield _rows([part], [-2], [_dump(k, n, label[: len(k)])])
+        (h, n), (label,) = (next(_load(blob) for side, blob in some if side == s) for s in (_OWN, _ROWS))
+        yield _rows([part], [_ROWS], [_dump(h, n, label)])
 
-    words = written(_by_part(counted.union(best.select("part", F.lit(2).cast("bigint").alias("side"), "blob")), parts, classed, _KEYED), "classed")
+    labels = best.where(f"side = {_OWN}").select("part", F.lit(_ROWS).cast("bigint").alias("side"), "blob")
+    kept = written(_by_part(counted.union(labels), parts, classed), "words")
 
     def sums(_: int, __: int, blob: bytes) -> Iterator[pa.RecordBatch]:
         _, n, label = _load(blob)
-        total = np.bincount(label, n + add, width).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total)], ["c", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(np.bincount(label, n + add, width).astype(np.float64))], ["c", "n"])
 
-    got = _each_row(words, sums, "c bigint, n double").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    got = _each_row(kept, sums, "c bigint, n double").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
     totals = np.ones(width)
     totals[got["c"].to_numpy()] = np.maximum(got["n"].to_numpy(), 1e-300)
-    return Whole(words, batches, named, parts, boundary, _transition(best_m, prior), totals, add, values)
-
-
-def _transition(m: np.ndarray, prior: float) -> np.ndarray:
-    share = (m.sum(0) + 1.0) / (m.sum(0) + 1.0).sum()
-    return np.log((m + prior * share) / (m.sum(1, keepdims=True) + prior))
+    return Model(kept, batches, count, named, parts, _transition(best_m, prior), totals, add, values)
 
 
 @kept_names
-def perplexity(docs: DataFrame, text: str = "text", model: Model | None = None, into: str = "lm", **how) -> DataFrame:
-    """docs with one more struct column: n_words, log_prob, perplexity; by a model of docs itself
-    unless one is given. With ``vocabulary`` or ``buckets`` that is one of bounded size."""
-    s = F.col(quoted(into))
-    if model or "vocabulary" in how or "buckets" in how:
-        shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, text, **how))
-        got = docs.select(*own(docs, into), score(F.col(quoted(text)), shared).alias(into))
-    else:
-        rid = fresh(docs, "rid")
-        numbered = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
-        scores = train_whole(numbered, rid, text, **how).scores().select(F.col("id").alias(rid), F.struct(F.col("n").alias("n_words"), F.col("p").alias("log_prob")).alias(fresh(docs, "scored")))
-        scored = scores.columns[1]
-        got = numbered.join(scores.hint("shuffle_hash"), rid).select(*own(docs, into), F.col(scored).alias(into))
-    return got.withColumn(into, F.struct(s["n_words"].alias("n_words"), s["log_prob"].alias("log_prob"), F.when(s["n_words"] > 0, F.exp(-s["log_prob"] / s["n_words"])).alias("perplexity")))
+def perplexity(docs: DataFrame, text: str = "text", into: str = "lm", only: tuple[str, ...] | None = None, **how) -> DataFrame:
+    """docs with one more struct column: n_words, log_prob, perplexity, by a model of docs itself.
+    only: those of docs' columns that are wanted; no others are written beside the words."""
+    n, p = fresh(docs, "n_words"), fresh(docs, "log_prob")
+    rows = docs if only is None else docs.select(*[F.col(quoted(c)) for c in only])
+    got = train(docs, text, only=rows.columns, **how).scores(rows.schema, n, p)
+    made = F.struct(F.col(n).alias("n_words"), F.col(p).alias("log_prob"), F.when(F.col(n) > 0, F.exp(-F.col(p) / F.col(n))).alias("perplexity"))
+    return got.select(*own(rows, into), made.alias(into))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return perplexity(docs).select("doc_id", "lm.n_words", "lm.log_prob", "lm.perplexity")
+    return perplexity(docs, only=("doc_id",)).select("doc_id", "lm.n_words", "lm.log_prob", "lm.perplexity")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+import weakref
 from functools import wraps
 from inspect import signature
 
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINTS = "spark.checkpoint.dir"
+#: Where written tables are.
+_AT: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -76,7 +80,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    _AT[got] = path
+    return got
+
+
+def cleared(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables that ``written`` made and nothing will read again, and has the driver collect
+    its garbage: shuffle files of jobs that are over go only when it does."""
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        if path := _AT.pop(df, None):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def checked_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:

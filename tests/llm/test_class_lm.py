@@ -1,6 +1,7 @@
 import numpy as np
 
-from starlace.llm.class_lm import _pack, _unpack, exchange, exchange_together, objective, perplexity, train
+import starlace.llm.class_lm as lm
+from starlace.llm.class_lm import _dump, _load, exchange, exchange_together, objective, perplexity, train
 from starlace.llm.textops import Words
 
 
@@ -29,50 +30,10 @@ def test_exchange_takes_the_best_move():
 
 
 def test_packing():
-    k = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
-    n = np.arange(1000)
-    a, b = _unpack(_pack(k, n))
-    assert (a == k).all() and (b == n).all()
-
-
-def test_probabilities_sum_to_one_and_counts_are_whole(spark, small):
-    model = train(small, vocabulary=200, buckets=32, classes=6, passes=2)
-    assert all(b >= a - 1e-6 for a, b in zip(model.objectives, model.objectives[:1])) and max(model.objectives) > model.objectives[0]
-    texts = [r.text for r in small.select("text").collect()]
-    words = Words(texts)
-    assert model.symbols.boundary == 232
-    # transitions from each class, and emissions of a class's symbols with their spread, are distributions
-    assert np.allclose(np.exp(model.transition).sum(1), 1)
-    seen = {}
-    for h, s in zip(words.hash.tolist(), model.symbols.of(words.hash).tolist()):
-        seen.setdefault(s, set()).add(h)
-    total = np.zeros(6)
-    for s in range(232):
-        total[model.label[s]] += np.exp(model.emission[s]) * max(1, len(seen.get(s, ())))
-    assert np.allclose(total[np.bincount(model.label[:232], minlength=6) > 0], 1)
-
-
-def test_scores_against_a_loop(spark, small):
-    model = train(small, vocabulary=100, buckets=16, classes=4, passes=1)
-    got = {r.doc_id: r.lm for r in perplexity(small, model=model).collect()}
-    for r in small.limit(20).collect():
-        w = Words([r.text])
-        s = model.symbols.of(w.hash).tolist()
-        p, before = 0.0, model.symbols.boundary
-        for x in s:
-            p += model.transition[model.label[before], model.label[x]] + model.emission[x]
-            before = x
-        assert got[r.doc_id].n_words == len(s) and abs(got[r.doc_id].log_prob - p) < 1e-6 * max(1, abs(p))
-        assert abs(got[r.doc_id].perplexity - np.exp(-p / len(s))) < 1e-6 * np.exp(-p / len(s))
-
-
-def test_odd(odd, none, clashing):
-    how = {"vocabulary": 50, "buckets": 8, "classes": 3, "passes": 1}
-    got = {(r.doc_id, r.n_chars): r.lm for r in perplexity(odd, **how).collect()}
-    assert got[4, 0].n_words == 0 and got[4, 0].perplexity is None and got[5, None].log_prob == 0
-    assert got[6, len(" ".join(f"w{k % 977}x{k % 1009}" for k in range(30_000)))].n_words == 30_000
-    assert perplexity(none, **how).count() == 0
-    assert perplexity(clashing, **how).count() == odd.count()
+    rng = np.random.default_rng(1)
+    some = [rng.integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2), np.arange(1000), np.empty(0, np.int64), rng.integers(0, 70_000, 17)]
+    for x, y in zip(some, _load(_dump(*some))):
+        assert (x == y).all() and len(x) == len(y)
 
 
 def test_visited_together_each_moves_as_alone():
@@ -92,39 +53,68 @@ def test_visited_together_each_moves_as_alone():
         assert np.allclose(now, matrix(pairs, moved, c))
 
 
-def test_every_word_has_a_row_of_its_own(spark, small, monkeypatch):
-    """More words than the bounded model has symbols for: each keeps its count, a class and an emission."""
-    import starlace.llm.class_lm as lm
-
-    monkeypatch.setattr(lm, "_BATCH", 20_000)
+def test_looked_up_gains_are_those_of_large_counts(monkeypatch):
+    """The table of small counts changes nothing."""
+    rng = np.random.default_rng(5)
+    v, c = 60, 5
+    pairs = rng.integers(0, 9, (v + 1, v + 1)).astype(float)
+    pairs[:, v] = 0
+    label = np.append(rng.integers(0, c, v), c)
+    profile = np.stack([[np.bincount(label, pairs[i], c + 1), np.bincount(label, pairs[:, i], c + 1)] for i in range(v)])
+    some = []
+    for small in (1, 12, 400):
+        monkeypatch.setattr(lm, "_SMALL", small)
+        some.append(exchange_together(profile, np.diag(pairs)[:v], label[:v], matrix(pairs, label, c), c).tolist())
+    assert some[0] == some[1] == some[2]
+
+
+def test_against_a_loop(spark, small, monkeypatch):
+    """Every word has its count, a class and an emission of its own; the counts of class pairs are
+    those of a loop over the texts, and so are the scores."""
+    monkeypatch.setattr(lm, "_BATCH", 5_000)
+    monkeypatch.setattr(lm, "_BLOCK", 20_000)
     frequent = " ".join(f"w{k} w{k} w{k + 1}" for k in range(70_000))
     docs = small.select("doc_id", "text").union(spark.createDataFrame([(-1, frequent), (-2, None), (-3, "")], "doc_id long, text string"))
-    numbered = lm.written(docs.selectExpr("*", "monotonically_increasing_id() AS rid"), "numbered")
-    model = lm.train_whole(numbered, "rid", classes=6, passes=2)
-    texts = {r.rid: r.text for r in numbered.collect()}
-    words = Words([t or "" for t in texts.values()])
-    h, n = np.unique(words.hash, return_counts=True)
-    held = [lm._load(bytes(r.blob)) for r in model.words.collect()]
+    model = train(docs, classes=6, passes=3)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    h, n = np.unique(Words(list(texts.values())).hash, return_counts=True)
+    held = [_load(bytes(r.blob)) for r in model.words.collect()]
     k, count, label = (np.concatenate([x[j] for x in held]) for j in range(3))
     order = np.argsort(k)
     assert len(h) > 70_000 and (k[order] == h).all() and (count[order] == n).all()
     assert max(model.objectives) > model.objectives[0]
     emission = np.log(count + model.add) - np.log(model.totals)[label]
     assert np.allclose(np.bincount(label, np.exp(emission)), 1) and np.allclose(np.exp(model.transition).sum(1), 1)
-    # the counts of class pairs are those of a loop over the texts, and so are the scores
     at = {x: j for j, x in enumerate(k.tolist())}
-    got = {r.id: r for r in model.scores().collect()}
+    got = {r.doc_id: r for r in model.scores(docs.schema, "n", "p").collect()}
     assert len(got) == len(texts)
-    for rid, t in texts.items():
-        before, p, w = 6, 0.0, Words([t or ""]).hash.tolist()
+    m = np.zeros((7, 7))
+    for id, t in texts.items():
+        assert got[id].text == (t or None) or id == -3
+        before, p, w = 6, 0.0, Words([t]).hash.tolist()
         for x in w:
-            p += model.transition[before, label[at[x]]] + emission[at[x]]
-            before = label[at[x]]
-        assert got[rid].n == len(w) and abs(got[rid].p - p) < 1e-6 * max(1, abs(p))
+            now = int(label[at[x]])
+            m[before, now] += 1
+            p += model.transition[before, now] + emission[at[x]]
+            before = now
+        assert got[id].n == len(w) and abs(got[id].p - p) < 1e-6 * max(1, abs(p))
+    assert abs(objective(m) - max(model.objectives)) < 1e-6 * abs(objective(m))
+
+
+def test_likelihood_does_not_hang_on_the_number_of_parts(spark, small, monkeypatch):
+    reached = []
+    for share in (2_000, 50_000):
+        monkeypatch.setattr(lm, "_SHARE", share)
+        values = train(small, classes=8, passes=5).objectives
+        assert values[-1] > values[0]
+        reached.append((max(values) - values[0]) / abs(values[0]))
+    assert min(reached) > 0.7 * max(reached)
 
 
-def test_whole_model_of_odd_tables(odd, none, clashing):
+def test_odd(odd, none, clashing):
     got = {(r.doc_id, r.n_chars): r.lm for r in perplexity(odd, classes=3, passes=1).collect()}
     assert got[4, 0].n_words == 0 and got[4, 0].perplexity is None and got[5, None].log_prob == 0
+    assert got[6, len(" ".join(f"w{k % 977}x{k % 1009}" for k in range(30_000)))].n_words == 30_000
     assert perplexity(none, classes=3, passes=1).count() == 0
     assert perplexity(clashing, classes=3, passes=1).count() == odd.count()
+    assert perplexity(odd, classes=3, passes=1, only=("doc_id",)).columns == ["doc_id", "lm"]
