@@ -151,7 +151,8 @@ def _batches(docs: DataFrame, text: str, only: list[str]) -> DataFrame:
         hashes: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            h, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            coded = pa.array(np.concatenate(hashes)).dictionary_encode()
+            h, at = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
             order = np.argsort(-np.bincount(at, minlength=len(h)), kind="stable")
             place = np.empty(len(h), np.int64)
             place[order] = np.arange(len(h))
@@ -398,7 +399,7 @@ def _looked_up(base: np.ndarray) -> np.ndarray:
 
 def exchange_together(profile: np.ndarray, selves: np.ndarray, label: np.ndarray, m: np.ndarray, classes: int) -> np.ndarray:
     """As exchange, but all of the words are visited against the same m, which then gets their moves."""
-    n = len(label)
+    n, width = len(label), classes + 1
     at, k = np.arange(n), np.arange(classes)
     a, s = label.astype(np.int64), selves
     r, left = profile[:, 0].copy(), profile[:, 1].copy()
@@ -443,13 +444,11 @@ def exchange_together(profile: np.ndarray, selves: np.ndarray, label: np.ndarray
     best = np.where(gain[at, best] <= gain[at, a] + 1e-9, a, best)
     go = np.flatnonzero(best != a)
     if len(go):
-        b, f, full = best[go], a[go], profile[go]
-        np.subtract.at(m, f, full[:, 0])
-        np.subtract.at(m.T, f, full[:, 1])
-        np.add.at(m, (f, f), s[go])
-        np.add.at(m, b, r[go])
-        np.add.at(m.T, b, left[go])
-        np.add.at(m, (b, b), s[go])
+        gone, come = np.zeros((2, len(go), width))
+        gone[np.arange(len(go)), a[go]] = come[np.arange(len(go)), best[go]] = 1
+        m -= gone.T @ profile[go, 0] + profile[go, 1].T @ gone
+        m += come.T @ r[go] + left[go].T @ come
+        m[k, k] += s[go] @ gone[:, :classes] + s[go] @ come[:, :classes]
     return best
 
 
