@@ -35,6 +35,14 @@ def own(df: DataFrame, *without: str) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
 
 
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, whatever the others are called: of equal names the first, and one
+    that differs by case only where none is equal."""
+    have = df.columns
+    at = [have.index(n) if n in have else [c.lower() for c in have].index(n.lower()) for n in names]
+    return df.toDF(*[f"c{k}" for k in range(len(have))]).select(*[F.col(f"c{k}").alias(n) for k, n in zip(at, names)])
+
+
 def kept_names(operator):
     """For operators whose first argument is a table and whose result begins with its columns:
     names that occur twice, or that differ only in case, come through. Of equal names the first
