@@ -1,9 +1,10 @@
 """Factorized matching: root tuples with a sorted array of images, or just their number, for each class of leaves.
 
 Roots are joined flat (there are few of them); a leaf hangs on its roots. A leaf of one root
-needs no array to be counted, only a grouped count. A leaf of several roots
-is met from one of them and checked against the others, tuple by tuple, and grouped again. The count is the sum, over root tuples, of the product of class sizes, each to
-the power of the class's number of leaves: nothing is enumerated.
+needs no array to be counted, only a grouped count. A leaf of several roots is met from the one
+with the fewest leaves and checked against the others, tuple by tuple, and grouped again. The
+count is the sum, over root tuples, of the product of class sizes, each to the power of the
+class's number of leaves: nothing is enumerated.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def roots_scan(g: Graph, p: Pattern, root: int, compat: bool, single: bool = Fal
     df = vertex_scan(g, p, root)
     if compat:
         deg = (Graph(g.vertices, g.edges, "single", g.labelled) if single else g).degrees()
-        df = df.join(deg.where((F.col("in_deg") >= p.in_deg(root)) & (F.col("out_deg") >= p.out_deg(root))).select(F.col("vid").alias(u(root))), u(root), "left_semi")
+        df = df.join(deg.where((F.col("vlabel") == p.labels[root]) & (F.col("in_deg") >= p.in_deg(root)) & (F.col("out_deg") >= p.out_deg(root))).select(F.col("vid").alias(u(root))), u(root), "left_semi")
     return df
 
 
@@ -126,9 +127,11 @@ def component(g: Graph, p: Pattern, roots: list[int], counting: bool, compat: bo
                 df = side if df is None else df.join(side, u(r))
             out[n] = F.col(made[key])
             continue
-        # each tuple meets its leaves from its last root, then the others must have them too
+        # each tuple meets its leaves from the root that has the fewest, then the others must have
+        # them too; the planner reckons with the same fan
+        sizes = g.sizes(p.elabels()) if len(by) > 1 else None
         wide = df
-        for k, r in enumerate(reversed(by)):
+        for k, r in enumerate(sorted(by, key=lambda r: sizes.fan(p, r, n)) if sizes else by):
             step = pair(g, p, r, n, single)
             step = step.hint(hint) if hint else step
             wide = step if wide is None else wide.join(step, [u(r), u(n)] if k else [u(r)])

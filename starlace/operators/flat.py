@@ -29,7 +29,7 @@ def order_of_pairs(g: Graph, p: Pattern, some: set[int]) -> list[tuple[int, int]
     pairs = [(a, b) for a, b in sorted(p.pairs) if a < b and a in some and b in some]
     if len(pairs) < 2:
         return pairs
-    return join_order(p, pairs, g.sizes({k for x in p.pairs.values() for k in x.incoming | x.outgoing | x.either}))[1]
+    return join_order(p, pairs, g.sizes(p.elabels()))[1]
 
 
 def component(g: Graph, p: Pattern, hint: str | None = None) -> DataFrame:
@@ -43,10 +43,13 @@ def component(g: Graph, p: Pattern, hint: str | None = None) -> DataFrame:
 
 
 def joined(g: Graph, p: Pattern, some: set[int], pending: Pending, hint: str | None = None) -> DataFrame:
-    """The pair relations among the given vertices, joined; constraints as soon as they can be."""
+    """The pair relations among the given vertices, joined; constraints as soon as they can be. A
+    relation that is joined by one vertex is partitioned by it before it is made a set."""
     df, bound = None, set()
-    for a, b in order_of_pairs(g, p, some):
-        step = pair(g, p, a, b)
+    order = order_of_pairs(g, p, some)
+    for k, (a, b) in enumerate(order):
+        by = [n for n in (a, b) if n in (bound or (order[1] if len(order) > 1 else ()))]
+        step = pair(g, p, a, b, by=by[0] if len(by) == 1 else None)
         if df is None:
             df = step
         else:

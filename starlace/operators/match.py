@@ -45,7 +45,7 @@ def _roots(g: Graph, p: Pattern, compat: bool) -> list[int]:
         return planner.decompose(p, g.frequency)
     if len(p.pairs) <= 2:
         return [min(p.labels)]
-    return planner.cheapest_roots(p, g.sizes({k for x in p.pairs.values() for k in x.incoming | x.outgoing | x.either}))
+    return planner.cheapest_roots(p, g.sizes(p.elabels()))
 
 
 def _parts(g: Graph, p: Pattern, roots: list[int] | None, compat: bool) -> list[tuple[Pattern, list[int]]]:

@@ -40,12 +40,13 @@ def _loop(g: Graph, p: Pattern, n: int, k: int) -> DataFrame:
 def pair(g: Graph, p: Pattern, a: int, b: int, single: bool = False, by: int | None = None) -> DataFrame:
     """(u<a>, u<b>), distinct, with all that concerns the two alone. single: as the single layout
     tests it, seen from a. by: partitioned by that vertex from the start, so that what is grouped
-    or joined by it later isn't moved again."""
+    or joined by it later isn't moved again. A saved graph has each edge once, so that the pairs of
+    one arc are a set already and nothing is moved for that."""
     want, la, lb = p.pairs[a, b], p.labels[a], p.labels[b]
-    e = g.labelled
-    labels = sorted(want.incoming | want.outgoing | want.either)
-    out = lambda some: e.where((F.col("slabel") == la) & (F.col("dlabel") == lb) & F.col("elabel").isin(some)).select(F.col("src").alias(u(a)), F.col("dst").alias(u(b)), F.lit(True).alias("out"), "elabel")
-    back = lambda some: e.where((F.col("slabel") == lb) & (F.col("dlabel") == la) & F.col("elabel").isin(some)).select(F.col("dst").alias(u(a)), F.col("src").alias(u(b)), F.lit(False).alias("out"), "elabel")
+    e = g.counted
+    labels = sorted(want.labels())
+    out = lambda some: e.where((F.col("slabel") == la) & (F.col("dlabel") == lb) & F.col("elabel").isin(some)).select(F.col("src").alias(u(a)), F.col("dst").alias(u(b)), F.lit(True).alias("out"), "elabel", "times")
+    back = lambda some: e.where((F.col("slabel") == lb) & (F.col("dlabel") == la) & F.col("elabel").isin(some)).select(F.col("dst").alias(u(a)), F.col("src").alias(u(b)), F.lit(False).alias("out"), "elabel", "times")
     keys = [u(a), u(b)]
     moved = lambda df: df if by is None else df.repartition(u(by))
     if single:
@@ -54,16 +55,15 @@ def pair(g: Graph, p: Pattern, a: int, b: int, single: bool = False, by: int | N
         score = has(False, want.incoming) + has(True, want.outgoing) + has(False, want.either)
         got = moved(some).groupBy(*keys).agg(score.alias("score")).where(F.col("score") == want.size()).select(*keys)
     elif want.size() == 1:
-        if want.outgoing:
-            got = moved(out(labels).select(*keys)).distinct()
-        elif want.incoming:
-            got = moved(back(labels).select(*keys)).distinct()
+        if not want.either:
+            got = (out if want.outgoing else back)(labels).select(*keys)
+            got = got if g.once else moved(got).distinct()
         else:
             got = moved(out(labels).unionByName(back(labels)).select(*keys)).distinct()
     else:
         # one pass over the labels in question; an edge for either way must not be one that an arc needs
         some = moved(out(sorted(want.outgoing | want.either)).unionByName(back(sorted(want.incoming | want.either))))
-        times = lambda way, k: F.count(F.when((F.col("out") == F.lit(way)) & (F.col("elabel") == k), 1))
+        times = lambda way, k: F.coalesce(F.sum(F.when((F.col("out") == F.lit(way)) & (F.col("elabel") == k), F.col("times"))), F.lit(0))
         tests = [(times(False, k) >= 1) for k in sorted(want.incoming)] + [(times(True, k) >= 1) for k in sorted(want.outgoing)]
         tests += [(times(False, k) + times(True, k) - int(k in want.incoming) - int(k in want.outgoing)) >= 1 for k in sorted(want.either)]
         got = some.groupBy(*keys).agg(all_of(tests).alias("ok")).where("ok").select(*keys)

@@ -26,6 +26,9 @@ class Pair:
     def size(self) -> int:
         return len(self.incoming) + len(self.outgoing) + len(self.either)
 
+    def labels(self) -> frozenset[int]:
+        return self.incoming | self.outgoing | self.either
+
 
 @dataclass
 class Pattern:
@@ -34,6 +37,10 @@ class Pattern:
     loops: dict[int, frozenset[int]] = field(default_factory=dict)
     constraints: list[Expr] = field(default_factory=list)
 
+    def elabels(self) -> set[int]:
+        """Labels of edges between different vertices."""
+        return {k for x in self.pairs.values() for k in x.labels()}
+
     # -- building -------------------------------------------------------------------------
 
     def add_vertex(self, u: int, label: int) -> Pattern:

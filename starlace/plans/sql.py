@@ -51,4 +51,4 @@ def count(pattern: str | Pattern) -> str:
 
 def elabels(pattern: str | Pattern) -> set[int]:
     p = as_pattern(pattern)
-    return {k for x in p.pairs.values() for k in x.incoming | x.outgoing | x.either} | {k for some in p.loops.values() for k in some}
+    return p.elabels() | {k for some in p.loops.values() for k in some}

@@ -21,7 +21,7 @@ from ..plans.planner import Sizes
 VERTICES = "vid bigint, vlabel int"
 EDGES = "src bigint, dst bigint, elabel int"
 LAYOUTS = ("multiple", "single")
-_FORMAT = "starlace-graph-1"
+_FORMAT = "starlace-graph-2"
 
 
 def _typed(df: DataFrame, names: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
@@ -48,6 +48,7 @@ class Graph:
         self.vertices, self.edges, self.layout, self._labelled = vertices, edges, layout, labelled
         self._frequency: dict[int, int] | None = None
         self._vertex_counts: dict[int, int] | None = None
+        self._once: DataFrame | None = None
         self._edge_counts: dict[int, dict[tuple[int, int, int], int]] = {}
 
     # -- sources --------------------------------------------------------------------------
@@ -108,8 +109,10 @@ class Graph:
         if about.get("format") != _FORMAT:
             raise GraphDataError(f"{path} isn't a graph")
         v = spark.read.schema("vid bigint, vlabel int").parquet(f"{path}/vertices").select("vid", "vlabel")
-        a = spark.read.schema("src bigint, dst bigint, elabel int, slabel int, dlabel int").parquet(f"{path}/edges").select("src", "slabel", "dst", "dlabel", "elabel")
+        once = spark.read.schema("src bigint, dst bigint, times bigint, elabel int, slabel int, dlabel int").parquet(f"{path}/edges").select("src", "slabel", "dst", "dlabel", "elabel", "times")
+        a = once.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times") if about["repeats"] else once.drop("times")
         g = cls(v, a.select("src", "dst", "elabel"), about["layout"], a)
+        g._once = once
         g._vertex_counts = {k: n for k, n in about["vertices"]}
         for s, e, d, n in about["edges"]:
             g._edge_counts.setdefault(e, {})[s, e, d] = n
@@ -118,19 +121,24 @@ class Graph:
     # -- build and export -----------------------------------------------------------------
 
     def save(self, path: str, mode: str = "error") -> Graph:
-        """Vertices by label, edges by the labels of edge and ends, sorted within files."""
+        """Vertices by label; edges by the labels of edge and ends, each once with the number of times
+        it is there, sorted within files; numbers of both."""
         spark = self.vertices.sparkSession
         self.vertices.repartition("vlabel", F.pmod(F.xxhash64("vid"), F.lit(32))).sortWithinPartitions("vlabel", "vid").write.mode(mode).partitionBy("vlabel").parquet(f"{path}/vertices")
         some = self.reduced.labelled if self.layout == "single" else self.labelled
+        some = some.groupBy("src", "slabel", "dst", "dlabel", "elabel").agg(F.count("*").alias("times"))
         some.repartition("elabel", "slabel", "dlabel", F.pmod(F.xxhash64("src"), F.lit(32))).sortWithinPartitions("elabel", "slabel", "dlabel", "src", "dst").write.mode(mode).partitionBy("elabel", "slabel", "dlabel").parquet(f"{path}/edges")
-        kept = spark.read.parquet(f"{path}/edges").groupBy("slabel", "elabel", "dlabel").count().collect()
+        kept = spark.read.parquet(f"{path}/edges").groupBy("slabel", "elabel", "dlabel").agg(F.count("*"), F.sum("times")).collect()
         vertices = spark.read.parquet(f"{path}/vertices").groupBy("vlabel").count().collect()
-        about = {"format": _FORMAT, "layout": self.layout, "vertices": [list(r) for r in vertices], "edges": [list(r) for r in kept]}
+        about = {"format": _FORMAT, "layout": self.layout, "vertices": [list(r) for r in vertices], "edges": [list(r)[:4] for r in kept], "repeats": any(r[4] > r[3] for r in kept)}
         spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/description")
         return Graph.load(spark, path)
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Graph:
-        self._labelled = self.labelled.persist(level)
+        if self._once is None:
+            self._labelled = self.labelled.persist(level)
+        else:
+            self._once = self._once.persist(level)
         return self
 
     @property
@@ -142,6 +150,16 @@ class Graph:
             self._labelled = self.edges.join(s, "src").join(d, "dst").select("src", "slabel", "dst", "dlabel", "elabel")
         return self._labelled
 
+    @property
+    def once(self) -> bool:
+        """Whether ``counted`` has each edge once."""
+        return self._once is not None
+
+    @property
+    def counted(self) -> DataFrame:
+        """labelled with one more column, times: on a saved graph each edge once."""
+        return self.labelled.withColumn("times", F.lit(1).cast("bigint")) if self._once is None else self._once
+
     @property
     def doubled(self) -> DataFrame:
         """Each edge once from either end: (vlabel, vid, nlabel, nid, direction, elabel), direction true at its source."""
