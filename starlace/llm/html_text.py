@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 
 from .frames import kept_names, own, quoted
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template noscript textarea title iframe svg math object".split())
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _SILENT = _RAW | {"head", "select", "button"}
 _BLOCK = frozenset("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "html", "body", "li", "dd", "dt"}
@@ -41,82 +41,153 @@ _SCOPE = {"li": {"ul", "ol"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td":
 _HEAD = frozenset("title meta link base style script head html".split())
 
 
+class _Ahead:
+    """Where a pattern next occurs, for places that only grow: no stretch is searched twice."""
+
+    def __init__(self, pattern: str, source: str):
+        self.search, self.source, self.seen, self.next = re.compile(pattern).search, source, -1, -1
+
+    def __call__(self, at: int) -> int:
+        if self.next < at or at < self.seen:
+            m = self.search(self.source, at)
+            self.seen, self.next = at, m.start() if m else len(self.source)
+        return self.next
+
+
+class Marks:
+    """Comments, declarations and tags of a page, in order: (start, stop, "/" of an end tag, name,
+    the rest of the tag). A tag ends at the first > outside quotes; where there is none it is text."""
+
+    _END = re.compile("[>\"']")
+
+    def __init__(self, source: str):
+        self.source, self.dead = source, set()
+        self.name_end, self.special = _Ahead(r"[\s/>]", source), _Ahead("[>\"']", source)
+
+    def _stop(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``; -1 if nowhere."""
+        source, walk, p = self.source, [], self.special(at)
+        while p < len(source) and p not in self.dead:
+            if source[p] == ">":
+                return p
+            walk.append(p)
+            q = source.find(source[p], p + 1)
+            m = self._END.search(source, q + 1) if q >= 0 else None
+            if not m:
+                break
+            p = m.start()
+        self.dead.update(walk)  # no way from these quotes leads to an end
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str, str]]:
+        source, n = self.source, len(self.source)
+        at = source.find("<")
+        while 0 <= at < n - 1:
+            c = source[at + 1]
+            stop = -1
+            if c in "!?":
+                if source.startswith("<!--", at):
+                    stop = source.find("-->", at + 4)
+                    stop = n if stop < 0 else stop + 3
+                else:
+                    stop = source.find(">", at)
+                    stop = n if stop < 0 else stop + 1
+                got = at, stop, "", "", ""
+            else:
+                first = at + 1 + (c == "/")
+                if source[first : first + 1].isalpha() and source[first].isascii():
+                    end = self.name_end(first)
+                    stop = self._stop(end) + 1 or -1
+                    if stop > 0:
+                        got = at, stop, "/" * (c == "/"), source[first:end], source[end : stop - 1]
+            if stop < 0:
+                at = source.find("<", at + 1)
+                continue
+            at = (yield got) or stop  # or where the reader has got to
+            at = source.find("<", at)
+
+
 class Tree:
     """Nodes in document order; a node's parent comes before it. Text pieces belong to a node."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.last = ["#root"], [-1], [0]
         self.pieces: list[tuple[int, str]] = []  # (node, text)
-        stack = [0]
-        at, n = 0, len(source)
-        silent = 0
-        while at < n:
-            m = _TOKEN.search(source, at)
-            stop = m.start() if m else n
-            if stop > at and not silent:
-                text = source[at:stop]
-                if not text.isspace():
-                    self.pieces.append((stack[-1], text))
-                elif self.pieces:
-                    self.pieces.append((stack[-1], " "))
-            if not m:
-                break
-            at = m.end()
-            name = m.group(2)
-            if not name:
-                continue
-            name = name.lower()
-            if m.group(1):
-                if name == "p" and not any(self.tag[k] == "p" for k in stack):
-                    continue
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == name:
-                        for k in stack[depth:]:
-                            silent -= self.tag[k] in _SILENT
-                        del stack[depth:]
-                        break
-                continue
-            if name in ("html", "body") and any(self.tag[k] == name for k in stack):
-                continue
-            if name not in _HEAD and self.tag[stack[-1]] == "head":  # an unclosed head ends here
-                silent -= 1
-                stack.pop()
-            if name in _CLOSES_P:
-                for depth in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[depth]]
-                    if t == "p":
-                        del stack[depth:]
-                        break
-                    if t in _BLOCK:
-                        break
-            if name in _SIBLINGS:
-                for depth in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[depth]]
-                    if t in _SCOPE[name]:
-                        break
-                    if t in _SIBLINGS[name]:
-                        del stack[depth:]
-                        break
-            node = len(self.tag)
-            self.tag.append(name)
-            self.parent.append(stack[-1])
-            self.last.append(node)
-            if name == "br" or name == "hr":
-                self.pieces.append((node, "\n"))
-            if name in _VOID or m.group(3).endswith("/") and name not in _BLOCK and name != "a":
-                continue
-            if name in _RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = end.end() if end else n
-                continue
-            silent += name in _SILENT
-            stack.append(node)
+        self.stack, self.open, self.blocks = [0], {}, []  # open nodes; their depths by name; depths of blocks
+        self.silent = at = 0
+        marks = iter(Marks(source))
+        mark = next(marks, None)
+        while mark:
+            start, stop, end, name, rest = mark
+            self._text(source[at:start])
+            at = stop
+            if name:
+                at = self._tag(source, stop, end, name.lower(), rest)
+            try:
+                mark = marks.send(at)
+            except StopIteration:
+                mark = None
+        self._text(source[at:])
+        del self.stack, self.open, self.blocks
         for k in range(len(self.tag) - 1, 0, -1):
             p = self.parent[k]
             if self.last[k] > self.last[p]:
                 self.last[p] = self.last[k]
 
 
+    def _text(self, text: str) -> None:
+        if not text or self.silent:
+            return
+        if not text.isspace():
+            self.pieces.append((self.stack[-1], text))
+        elif self.pieces:
+            self.pieces.append((self.stack[-1], " "))
+
+    def _depth(self, names) -> int:
+        """The innermost open tag of these names; 0 if none is open."""
+        return max((self.open[t][-1] for t in names if self.open.get(t)), default=0)
+
+    def _close(self, depth: int) -> None:
+        for k in reversed(self.stack[depth:]):
+            self.silent -= self.tag[k] in _SILENT
+            self.open[self.tag[k]].pop()
+        del self.stack[depth:]
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+
+    def _tag(self, source: str, at: int, end: str, name: str, rest: str) -> int:
+        """Reads a tag; where to go on."""
+        if end:
+            if depth := self._depth((name,)):
+                self._close(depth)
+            return at
+        if name in ("html", "body") and self.open.get(name):
+            return at
+        if name not in _HEAD and self.tag[self.stack[-1]] == "head":  # an unclosed head ends here
+            self._close(len(self.stack) - 1)
+        if name in _CLOSES_P and self.blocks and self.tag[self.stack[self.blocks[-1]]] == "p":
+            self._close(self.blocks[-1])
+        if name in _SIBLINGS and (depth := self._depth(_SIBLINGS[name])) > self._depth(_SCOPE[name]):
+            self._close(depth)
+        node = len(self.tag)
+        self.tag.append(name)
+        self.parent.append(self.stack[-1])
+        self.last.append(node)
+        if name == "br" or name == "hr":
+            self.pieces.append((node, "\n"))
+        if name in _VOID or rest.endswith("/") and name not in _BLOCK and name != "a":
+            return at
+        if name in _RAW:
+            m = _RAW_END[name].search(source, at)
+            return m.end() if m else len(source)
+        self.silent += name in _SILENT
+        self.open.setdefault(name, []).append(len(self.stack))
+        if name in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+        return at
+
+
 def _size(text: str) -> int:
     """Characters of a piece as they are read: entities are one, white space none."""
     if "&" in text:

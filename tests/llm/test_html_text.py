@@ -1,4 +1,5 @@
 import random
+import time
 from math import e, log
 
 import pytest
@@ -94,3 +95,21 @@ def test_table(spark):
     assert extract_pages(pages.limit(0)).count() == 0
     clash = pages.withColumnRenamed("url", "text")
     assert extract_pages(clash).columns == ["page_id", "html", "text"]
+
+
+@pytest.mark.parametrize("page", [
+    lambda k: "<a " * k, lambda k: "<b>" * k + "</i>" * k, lambda k: '<a "' * (k | 1), lambda k: "<a '\"" * k + ">x", lambda k: "<div>" * k + "<li></li>" * k, lambda k: "<p><td>" + "<b>" * k + "<div></div>" * k, lambda k: "<a" * k + ' ">x', lambda k: "<!" * k,
+])
+def test_broken_pages_take_time_in_proportion(page):
+    def seconds(k):
+        began = time.process_time()
+        extract(page(k))
+        return time.process_time() - began
+
+    small, large = (min(seconds(k) for _ in range(3)) for k in (50_000, 200_000))
+    assert large < 2.5**2 * small + 0.1
+
+
+def test_tags_that_end_silent_ones_end_silence():
+    assert extract("<table><tr><select><option>no<tr><td>seen</table>") == "seen"
+    assert extract("<a href='x>y") == "<a href='x>y" and extract("a < b <1> c") == "a < b <1> c"
