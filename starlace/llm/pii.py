@@ -1,7 +1,9 @@
 """PII: candidate spans from high-recall generators, ranked by boosted trees.
 
-Generators propose overlapping spans, of numbers side by side every run of groups of digits (addresses of mail, numbers that could be telephones or
-cards, network addresses, account numbers, secrets). Each span is described by its format
+Generators propose overlapping spans: addresses of mail, numbers that could be telephones or
+cards (of numbers side by side every run of groups of digits), network addresses, account
+numbers, and secrets, by their own look or by the word and sign before them, whatever they are
+made of. Each span is described by its format
 (digits, groups, checksums, entropy) and its context (neighbouring characters, cue words);
 gradient-boosted trees turn that into a score, calibrated on held-out candidates into a
 probability. A span is redacted when it reaches its kind's threshold; of spans that overlap
@@ -12,7 +14,9 @@ of the data): formats drawn from public definitions, with look-alikes such as ca
 with a wrong check digit, versions, dates, amounts and ordinary words.
 
 Defined results: null stays null; an empty text has no spans; texts are read whole, in windows
-around places that could matter, and windows never cut a candidate; equal rows have equal
+around places that could matter (digits, @, = and :, capitals inside words), and windows never cut
+a candidate; a secret of small letters alone is proposed only after a word such as "password" and
+= or :, and one of capitals alone too; equal rows have equal
 results; other columns are carried along.
 """
 
@@ -35,22 +39,25 @@ from .textops import bounded, codepoints, lazily
 
 KINDS = ("EMAIL", "PHONE", "CARD", "IP", "SECRET", "ACCOUNT")
 #: Production parameters: made-up candidates, trees, depth, shrinkage, and the wanted precision.
-TRAINING, TREES, DEPTH, SHRINK, PRECISION = 24_000, 60, 4, 0.2, 0.99
+TRAINING, TREES, DEPTH, SHRINK, PRECISION = 24_000, 60, 5, 0.3, 0.99
 _BLOCK = 1_000_000
 _GENERATORS = (
-    ("EMAIL", re.compile(r"[A-Za-z0-9._%+'-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*", re.A)),
-    ("PHONE", re.compile(r"(?<![\w.])(?:\+|\()?\d(?:[ \t().\-/]{0,3}\d){6,16}(?!\w)")),
+    ("EMAIL", re.compile(r"(?<![\w.%+'-])[\w.%+'-]+@[\w-]+(?:\.[\w-]+)*")),
+    ("PHONE", re.compile(r"(?<![\w.])(?:\+|\()?\d(?:[ \t().\-/]{0,3}\d){6,16}(?!\w|\.\d)")),
     ("PHONE", re.compile(r"(?<![\w.])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{2,4}[ .-]?\d{2,5}(?!\d)")),
     ("CARD", re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)")),
     ("CARD", re.compile(r"(?<!\w)\d{12,19}(?!\w)")),
     ("CARD", re.compile(r"(?<!\w)\d{4}(?:[ -]\d{4}){3}(?!\w)")),
     ("IP", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")),
     ("IP", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")),
-    ("SECRET", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_=-]*\d)[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")),
+    ("IP", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){1,7}:(?![\w:])")),
+    ("SECRET", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")),
+    ("SECRET", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")),
+    ("SECRET", re.compile(r"(?i)(?<![a-z])(?:[a-z0-9]{1,20}[_-]){0,3}(?:password|passwd|passphrase|pass|pwd|secret|token|apikey|key|auth|bearer|credentials?)(?:[_-][a-z0-9]{1,20}){0,3}[\"']?[ \t]{0,3}(?:[:=]|=>)[ \t]{0,3}[\"']?([^\s\"'<>]{6,})")),
     ("ACCOUNT", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ACCOUNT", re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])")),
 )
-_CUES = ("token", "key", "secret", "passw", "api", "auth", "bearer", "tel", "phone", "call", "fax", "mobile", "mail", "contact", "card", "visa", "credit", "iban", "account", "ssn", "social", "ip", "host", "server", "addr", "version", "ver", "v.", "isbn", "order", "no.", "part", "commit", "sha", "figure", "page", "id")
+_CUES = ("token", "key", "secret", "passw", "api", "auth", "bearer", "tel", "phone", "call", "fax", "mobile", "mail", "contact", "card", "visa", "credit", "iban", "account", "ssn", "social", "ip", "host", "server", "addr", "version", "ver", "v.", "pwd", "credential", "pass", "isbn", "order", "no.", "part", "commit", "sha", "figure", "page", "id")
 _SPACE = set(" \t\r\n\f\v   ")
 
 
@@ -95,6 +102,8 @@ def features(text: str, start: int, stop: int, kind: str) -> list[float]:
         float(left[-1:].isspace() or not left), float(left[-1:] in "\"'=:"), float(left[-1:].isdigit()), float(left[-1:].isalnum()), float(left[-1:] == "."), float(left[-1:] == "/"), float(left[-1:] in "+("),
         float(right[:1].isspace() or not right), float(right[:1] in "\"'"), float(right[:1].isalnum()), float(right[:2].strip().isdigit() and bool(right.strip())), float(right[:1] == "-"), float(left[-2:].strip().isdigit() and bool(left.strip())), float(left[-1:] in "$€£#"), float(right[:1] == "%"),
     ]
+    sorts = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "." for c in s[:200]]
+    row += [sum(x != y for x, y in zip(sorts, sorts[1:])), sorts.count("."), sorts.count("A"), sum(c in "aeiouAEIOU" for c in s) / max(1, letters), float(left.rstrip("\"' ")[-1:] in (":", "=")), s.count("::"), float(s[:1] in "'.%+-_"), float(s[-1:] in "-_'"), float(right[:1] in (".", "-", "/", ":") and right[1:2].isdigit()), float(left[-1:] in (".", "-", "/", ":") and left[-2:-1].isdigit())]
     return row + [float(c in cue) for c in _CUES]
 
 
@@ -105,8 +114,25 @@ _RUNS = (
 )
 
 
+_INSIDE = re.compile("[a-z][A-Z]")
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    out = {(m.start(), m.end(), kind) for kind, rule in _GENERATORS for m in rule.finditer(text) if m.end() > m.start()}
+    out = set()
+    for kind, rule in _GENERATORS:
+        for m in rule.finditer(text):
+            a, b = m.span(m.lastindex or 0)
+            if kind == "SECRET" and not m.lastindex and not any("0" <= c <= "9" for c in m[0]) and not _INSIDE.search(m[0]):
+                continue  # a long word
+            out.add((a, b, kind))
+            # marks at either end may be its text's
+            x, y = a, b
+            while kind == "EMAIL" and x < y and text[x] in "'.%+-":
+                x += 1
+            while kind in ("SECRET", "EMAIL") and y > x and text[y - 1] in ".,;:!?)]}*|$-_'":
+                y -= 1
+            if y > x:
+                out.add((x, y, kind))
     # a long number may be several numbers side by side
     for a, b, kind in list(out):
         if kind in ("PHONE", "CARD"):
@@ -124,7 +150,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                     digits += b - x
                     if digits > most:
                         break
-                    if digits >= least:
+                    if digits >= least and not (text[b : b + 1] == "." and text[b + 1 : b + 2].isdigit()):  # not within a dotted number
                         out.add((start, b, kind))
     return sorted(out)
 
@@ -202,11 +228,11 @@ def _thing(r: random.Random) -> tuple[str, str, str | None]:
     word = lambda: _word(r)
     num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     cue, kind = "", None
-    pick = r.randrange(24)
+    pick = r.randrange(30)
     if pick in (0, 1):
-        local = r.choice([word(), f"{word()}.{num(2)}", f"{word()}_{word()}", f"{word()}+{word()}", word() + num(3)])
-        thing, kind = f"{local}@{word()}{r.choice(['', num(1)])}.{r.choice(['example.com', 'com', 'org', 'co.uk', 'de', 'net', 'fr', word() + '.com'])}", "EMAIL"
-        cue = r.choice(["", "", "mail ", "contact: ", "<"])
+        local = r.choice([word(), f"{word()}.{num(2)}", f"{word()}_{word()}", f"{word()}+{word()}", word() + num(3), r.choice("äéøñ") + word(), word() + r.choice(["üll", "é", "ß", "ø"]) + word()])
+        thing, kind = f"{local}@{word()}{r.choice(['', '', num(1), 'ä' + word(), '-' + word()])}.{r.choice(['example.com', 'com', 'org', 'co.uk', 'de', 'net', 'fr', word() + '.com'])}", "EMAIL"
+        cue = r.choice(["", "", "mail ", "contact: ", "<", "'", '"', "mailto="])
     elif pick in (2, 3):
         a, b, c = num(3), num(3), num(4)
         thing = r.choice([f"+{r.randint(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"+{num(2)} {num(2)} {num(2)} {num(2)} {num(2)} {num(2)}", f"+{num(11)}", f"+{r.randint(1, 9)}-{a}-{b}-{c}", f"0{num(2)}/{num(7)}"])
@@ -226,13 +252,33 @@ def _thing(r: random.Random) -> tuple[str, str, str | None]:
         thing, kind = ".".join(str(r.randint(1 if k == 0 else 0, 255)) for k in range(4)), "IP"
         cue = r.choice(["", "", "", "host ", "ip: ", "server "])
     elif pick == 12:
-        thing, kind = ":".join("%x" % r.randint(0, 65535) for _ in range(8)), "IP"
+        part = lambda n: ":".join("%x" % r.randint(0, 65535) for _ in range(n))
+        thing, kind = r.choice([part(8), part(8), f"fe80::{part(r.randint(1, 4))}", f"2001:db8::{part(r.randint(1, 3))}", f"{part(r.randint(1, 4))}::{part(r.randint(1, 3))}", f"{part(r.randint(2, 4))}::"]), "IP"
+        cue = r.choice(["", "", "host ", "ip: "])
     elif pick == 13:
         thing = r.choice([".".join(str(r.randint(256, 999)) for _ in range(4)), f"{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}.{num(4)}", ".".join(str(r.randint(0, 12)) for _ in range(5)), f"{r.randint(300, 999)}.{r.randint(0, 255)}.{num(3)}.{num(3)}"])
         cue = r.choice(["", "version ", "section "])
     elif pick in (14, 15, 16):
         thing = r.choice(["".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 40, 64]))), r.choice(["sk-", "ghp_", "AKIA", ""]) + "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.randint(20, 48)))])
         kind, cue = "SECRET", r.choice(['token = "', 'token: ', "key=", 'api_key = "', "secret: ", "password = '", "Bearer ", 'token = "'])
+    elif pick in (24, 25, 26):
+        kind, letters, capitals = "SECRET", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        some = lambda which, n: "".join(r.choice(which) for _ in range(n))
+        thing = r.choice([
+            r.choice(["AKIA", "ASIA"]) + some(capitals + "234567", 16), r.choice(["xoxb-", "glpat-", "sk_live_", "rk_", "pk_test_", "ghp_", "hf_"]) + some(letters + capitals + "0123456789", r.randint(20, 36)), some(letters + capitals, r.randint(16, 40)), f"xoxb-{num(r.randint(10, 13))}-{some(letters + capitals + '0123456789', r.randint(12, 24))}", some(letters + capitals + "0123456789+/", r.choice([24, 32, 44])) + r.choice(["", "=", "=="]), some(letters + capitals + "0123456789+/", r.choice([22, 43])) + "=",
+            word() + num(r.randint(1, 4)) + r.choice(["", word()]), word().capitalize() + num(2) + r.choice("!$#@%"), some(letters + capitals + "0123456789!$#@%&*", r.randint(8, 15)),
+        ])
+        if len(thing) < 6:
+            thing += num(6 - len(thing) + 2)
+        prefixed = thing.startswith(("AKIA", "ASIA", "xoxb-", "glpat-", "sk_live_", "pk_test_", "ghp_"))
+        cue = r.choice(["", "key "]) if prefixed and r.random() < 0.5 else r.choice(["password: ", "password=", "passwd = '", "pwd=", "api_key = '", 'secret = "', "secret_key: ", "token=", "auth_token: ", 'client_secret="', "DB_PASSWORD=", "passphrase: "])
+    elif pick == 27:  # what stands after such words and is no secret
+        thing = r.choice([word(), f"{word()}-{word()}", f"{word()}_{word()}", "required", "changed", "<none>", f"{word()}()", f"{word()}.{word()}", word().capitalize(), f"os.{word()}", "${" + word().upper() + "}"])
+        cue = r.choice(["password: ", "key: ", "token: ", "secret: ", "auth: ", "key = ", "keyword: ", "password=", "passwd: "])
+    elif pick == 28:
+        thing = r.choice([word() + word().capitalize() + word().capitalize() + word().capitalize(), f"{word()}/{word()}/{word().capitalize()}{word().capitalize()}", f"{word().capitalize()}{word()}-{word().capitalize()}{word()}", word() + word() + word() + word()])
+    elif pick == 29:
+        thing = r.choice([f"{num(1)}::{num(1)}", f"{word()}::{word()}", "::".join(word() for _ in range(3)), f"{num(2)}:{num(2)}", f"{word()}: {word()}", f"a:b:{num(1)}", f"{word()}={word()}", f"https://{word()}.org/{word()}", f"16:9", f"{num(1)}:{num(2)}:{num(2)}"])
     elif pick == 17:
         thing = r.choice([f"{word()}-{word()}-{num(4)}-{word()}-{word()}", f"{word()}/{word()}/{num(2)}/{word()}-{word()}", f"{word()}_{word()}_{word()}{num(1)}_{word()}", f"{num(4)}-{num(2)}-{num(2)}T{num(2)}", "=" * r.randint(16, 40), "-" * r.randint(16, 40) + num(1)])
     elif pick == 18:
@@ -260,7 +306,7 @@ def _made(r: random.Random) -> tuple[str, set[tuple[int, int, str]]]:
     text, real = words(6), set()
     for k in range(r.choice([1, 1, 1, 2, 2, 3])):
         cue, thing, kind = _thing(r)
-        if k and r.random() < 0.6:
+        if k and r.random() < 0.6 and not (kind == "SECRET" and len(thing) < 16):  # nothing else tells a short one
             cue = ""
         if text:
             text += r.choice([" ", " ", "\n", ", "])
@@ -310,9 +356,12 @@ class Detector:
 
 
 def _windows(texts: list[str], reach: int = 100) -> Iterator[tuple[int, tuple[int, str]]]:
-    """(text, (offset, window)): all that lies near a digit or an at sign, cut at white space only."""
+    """(text, (offset, window)): all that lies near a digit, @, =, : or a capital inside a word, cut at white space only."""
     cp, base = codepoints(texts)
-    hot = np.flatnonzero(((cp >= 48) & (cp <= 57)) | (cp == 64))
+    small, large = (cp >= 97) & (cp <= 122), (cp >= 65) & (cp <= 90)
+    hot = ((cp >= 48) & (cp <= 57)) | (cp == 64) | (cp == 61) | (cp == 58)
+    hot[1:] |= small[:-1] & large[1:]
+    hot = np.flatnonzero(hot)
     if not len(hot):
         return
     doc = np.searchsorted(base, hot, "right") - 1
