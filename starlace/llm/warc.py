@@ -3,14 +3,22 @@
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary, plain or
 itself compressed; each record is a frame of its own. Archives are split over tasks by file, and
 a file is decoded as a stream: one record is in memory at a time. Each record's version line,
-named fields, length, closing blank lines and block digest are checked.
-
-The writer makes archives of a table of pages, one for each task, in the shared folder. A task
+named fields, length, closing blank lines and block digest are checked. Archives made elsewhere
+are read as well: with any dictionary or none, chunked or compressed bodies, any character set
+that the HTTP header or the page names.
+
+The writer makes archives of a table of pages, one for each task, in the shared folder. Their
+dictionary is trained on ``TRAINED_ON`` pages, those with the least hashes of all that have no more
+than ``SAMPLE`` characters (so that the driver's memory is bounded); where they are
+too few or too alike to train on, it is their text itself. What it is changes no record. A task
 names its file anew each time it runs, and only the names that a finished task returns are read,
 so a lost executor or a task run twice does no harm.
 
 Defined results: a damaged record is a row with its error and as much as could be read, and
 reading goes on at the next frame; so a cut-off file gives its whole records and one error. A
+block longer than ``MAX_BLOCK``, the longest that a column's value can be, is an error too. A body
+that can't be decoded is an error, with the page as far as it goes. Columns other than the three
+named are dropped, whatever their names; of columns with one name the first is read. A
 null URL has no target field, and null HTML is marked as absent; both come back as null. Line
 breaks in a URL are written in percent form. An empty table gives no archive and no row;
 repeated rows are records each; pages of any length are whole.
@@ -19,9 +27,12 @@ repeated rows are records each; pages of any length are whole.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
+import re
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -31,14 +42,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import quoted, shared_dir, written
+from .frames import picked, shared_dir, written
 
-#: Production parameters: dictionary bytes, pages it is trained on, and compression level.
-DICTIONARY, TRAINED_ON, LEVEL = 32_768, 400, 3
+#: Production parameters: dictionary bytes, pages it is trained on, their length, and compression level.
+DICTIONARY, TRAINED_ON, SAMPLE, LEVEL = 32_768, 400, 100_000, 3
 _MAGIC, _FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 _CHUNK = 1 << 20
-#: A record's largest block; a longer one is an error, not a lost task.
-MAX_BLOCK = 1 << 30
+#: Of one column's value: Java's longest array, less what stands around it.
+MAX_BLOCK = (1 << 31) - (1 << 16)
+#: Bytes of a frame that are held so that reading can go on within them if it is damaged; of a longer one they are read again.
+_HELD = 8 << 20
 SCHEMA = "path string, offset bigint, warc_type string, record_id string, date string, target_uri string, content_length bigint, fields map<string,string>, block binary, error string"
 _NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
@@ -72,24 +85,29 @@ def _open(path: str, write: bool = False):
     if write:
         fs.create_dir(name.rpartition("/")[0], recursive=True)
         return fs.open_output_stream(name, compression=None)  # else the name's ending decides
-    return fs.open_input_stream(name, compression=None)
+    return fs.open_input_file(name)
 
 
-def write_archive(path: str, records: Iterator[bytes], samples: list[bytes], level: int = LEVEL, dictionary: int = DICTIONARY) -> int:
-    """Writes one archive; the number of records."""
+def dictionary_of(samples: list[bytes], size: int = DICTIONARY) -> bytes:
+    """A trained dictionary, or, of samples that none can be learnt from, the end of their text; b"" of none."""
     import zstandard as z
 
-    d = None
-    if len(samples) >= 8:
-        try:
-            d = z.train_dictionary(dictionary, samples)
-        except z.ZstdError:  # too little to learn from
-            d = None
+    try:
+        return z.train_dictionary(size, samples).as_bytes()
+    except (z.ZstdError, ValueError, MemoryError):
+        return b"".join(samples)[-size:]
+
+
+def write_archive(path: str, records: Iterator[bytes], dictionary: bytes = b"", level: int = LEVEL, packed: bool = True) -> int:
+    """Writes one archive; the number of records. packed: the dictionary compressed."""
+    import zstandard as z
+
+    d = z.ZstdCompressionDict(dictionary) if dictionary else None
     c = z.ZstdCompressor(level=level, dict_data=d, write_content_size=True) if d else z.ZstdCompressor(level=level, write_content_size=True)
     n = 0
     with _open(path, True) as f:
         if d:
-            raw = z.ZstdCompressor(level=19).compress(d.as_bytes())
+            raw = z.ZstdCompressor(level=19).compress(dictionary) if packed else dictionary
             f.write(struct.pack("<II", _MAGIC, len(raw)) + raw)
         for r in records:
             f.write(c.compress(r))
@@ -99,35 +117,29 @@ def write_archive(path: str, records: Iterator[bytes], samples: list[bytes], lev
 
 def write_pages(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Archives of all pages, one a task. (path, records) of those that were written."""
+    pages = picked(pages, id, url, html)
+    pages = pages.select(F.col(id).cast("bigint").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    sample = pages.where(F.length("html") <= SAMPLE).orderBy(F.xxhash64("id", "url")).limit(TRAINED_ON).select("html").toArrow()
+    shared = pages.sparkSession.sparkContext.broadcast(dictionary_of([page_record(k, None, h, str(k)) for k, h in enumerate(sample["html"].to_pylist())]))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = uuid.uuid4().hex
         path = f"{folder}/{name}.warc.zst"
-        first: list[bytes] = []
         rows = ((b, k) for b in batches for k in range(b.num_rows))
+        first = next(rows, None)
+        if first is None:
+            return
 
         def made() -> Iterator[bytes]:
+            yield record("warcinfo", b"software: starlace\r\nformat: WARC File Format 1.1\r\n", [("Content-Type", "application/warc-fields")], str(uuid.uuid5(uuid.NAMESPACE_URL, name)))
+            yield page_record(*(first[0].column(c)[first[1]].as_py() for c in range(3)), f"{name}/0")
             for k, (b, at) in enumerate(rows):
-                yield page_record(b.column(0)[at].as_py(), b.column(1)[at].as_py(), b.column(2)[at].as_py(), f"{name}/{k}")
+                yield page_record(b.column(0)[at].as_py(), b.column(1)[at].as_py(), b.column(2)[at].as_py(), f"{name}/{k + 1}")
 
-        stream = made()
-        for r in stream:
-            first.append(r)
-            if len(first) == TRAINED_ON:
-                break
-        if not first:
-            return
-        info = record("warcinfo", b"software: starlace\r\nformat: WARC File Format 1.1\r\n", [("Content-Type", "application/warc-fields")], str(uuid.uuid5(uuid.NAMESPACE_URL, name)))
-
-        def all_() -> Iterator[bytes]:
-            yield info
-            yield from first
-            yield from stream
-
-        n = write_archive(path, all_(), first)
+        n = write_archive(path, made(), shared.value)
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "records"])
 
-    return pages.select(F.col(quoted(id)).cast("bigint"), F.col(quoted(url)), F.col(quoted(html))).mapInArrow(write, "path string, records bigint")
+    return pages.mapInArrow(write, "path string, records bigint")
 
 
 def parse(data: bytes) -> dict:
@@ -176,12 +188,12 @@ def parse(data: bytes) -> dict:
 
 
 class _Source:
-    """A stream with a look ahead."""
+    """A file with a look ahead: ``held`` are the bytes from ``at`` on that have been read."""
 
     def __init__(self, f):
-        self.f, self.held, self.at, self.ended = f, b"", 0, False
+        self.f, self.held, self.at, self.ended = f, bytearray(), 0, False
 
-    def fill(self, n: int) -> bytes:
+    def fill(self, n: int) -> bytearray:
         while len(self.held) < n and not self.ended:
             more = self.f.read(_CHUNK)
             self.ended = not more
@@ -189,7 +201,52 @@ class _Source:
         return self.held
 
     def drop(self, n: int) -> None:
-        self.held, self.at = self.held[n:], self.at + n
+        del self.held[:n]
+        self.at += n
+
+    def back(self, at: int) -> None:
+        self.f.seek(at)
+        self.held, self.at, self.ended = bytearray(), at, False
+
+
+def _frame(s: _Source, d) -> tuple[bytes, str | None]:
+    """The frame at the source's place, which is left behind it, and what is wrong; if anything is,
+    the source is left at the next place where a frame may begin, or at the end."""
+    import zstandard as z
+
+    offset, parts, size, p, wrong = s.at, [], 0, 0, None
+    frame = (z.ZstdDecompressor(dict_data=d) if d else z.ZstdDecompressor()).decompressobj()
+    try:
+        while not frame.eof:
+            if p > _HELD:
+                s.drop(p)
+                p = 0
+            data = bytes(s.fill(p + 1)[p : p + _CHUNK])
+            if not data:
+                wrong = "the frame is cut off"
+                break
+            got = frame.decompress(data)
+            p += len(data)
+            size += len(got)
+            if size > MAX_BLOCK:
+                wrong = "the record is too large"
+                break
+            parts.append(got)
+    except z.ZstdError as error:
+        wrong = f"the frame can't be decoded: {error}"
+    if not wrong:
+        s.drop(p - len(frame.unused_data))
+        return b"".join(parts), None
+    if s.at > offset:
+        s.back(offset)
+    s.fill(1)
+    s.drop(1)
+    while True:
+        k = s.fill(1 << 16).find(_FRAME)
+        if k >= 0 or s.ended:
+            s.drop(k if k >= 0 else len(s.held))
+            return b"", wrong
+        s.drop(max(0, len(s.held) - 3))
 
 
 def read_archive(path: str) -> Iterator[dict]:
@@ -200,61 +257,24 @@ def read_archive(path: str) -> Iterator[dict]:
         s, d = _Source(f), None
         while len(s.fill(8)) >= 8 and 0x184D2A50 <= struct.unpack("<I", s.held[:4])[0] <= 0x184D2A5F:
             magic, n = struct.unpack("<II", s.held[:8])
-            raw = s.fill(8 + n)[8 : 8 + n]
+            raw = bytes(s.fill(8 + n)[8 : 8 + n])
             if len(raw) < n:
                 yield {"path": path, "offset": s.at, "error": "the dictionary is cut off"}
                 return
-            if magic == _MAGIC and d is None:
+            if magic == _MAGIC and d is None and raw:
                 try:
-                    d = z.ZstdCompressionDict(z.ZstdDecompressor().decompress(raw, max_output_size=1 << 28) if raw[:4] == _FRAME else raw)
+                    d = z.ZstdCompressionDict(z.ZstdDecompressor().decompressobj().decompress(raw) if raw[:4] == _FRAME else raw)
                 except z.ZstdError as error:
                     yield {"path": path, "offset": s.at, "error": f"the dictionary can't be read: {error}"}
                     return
             s.drop(8 + n)
         while s.fill(4):
-            offset, parts, size, wrong = s.at, [], 0, None
-            frame = (z.ZstdDecompressor(dict_data=d) if d else z.ZstdDecompressor()).decompressobj()
-            try:
-                while not frame.eof:
-                    data = s.fill(1)
-                    if not data:
-                        wrong = "the frame is cut off"
-                        break
-                    got = frame.decompress(data)
-                    s.drop(len(data))
-                    size += len(got)
-                    if size > MAX_BLOCK:
-                        wrong = "the record is too large"
-                        break
-                    parts.append(got)
-                else:
-                    rest = frame.unused_data
-                    s.held, s.at = rest + s.held, s.at - len(rest)
-            except z.ZstdError as error:
-                wrong = f"the frame can't be decoded: {error}"
-            if wrong:
-                yield {"path": path, "offset": offset, "error": wrong}
-                if s.ended and not s.held:
-                    return
-                s.held, s.at, s.ended = b"", offset + 1, False  # on to the next frame
-                s.f = _open(path)
-                _skip(s.f, offset + 1)
-                while True:
-                    data = s.fill(1 << 16)
-                    k = data.find(_FRAME)
-                    if k >= 0:
-                        s.drop(k)
-                        break
-                    if s.ended:
-                        return
-                    s.drop(max(0, len(data) - 3))
+            if len(s.held) >= 8 and 0x184D2A50 <= struct.unpack("<I", s.held[:4])[0] <= 0x184D2A5F:  # a skippable frame between records
+                s.back(s.at + 8 + struct.unpack("<I", s.held[4:8])[0])
                 continue
-            yield {"path": path, "offset": offset, **parse(b"".join(parts))}
-
-
-def _skip(f, n: int) -> None:
-    while n > 0 and (got := len(f.read(min(n, _CHUNK)))):
-        n -= got
+            offset = s.at
+            data, wrong = _frame(s, d)
+            yield {"path": path, "offset": offset, "error": wrong} if wrong else {"path": path, "offset": offset, **parse(data)}
 
 
 def read_archives(files: DataFrame, path: str = "path") -> DataFrame:
@@ -278,23 +298,103 @@ def read_archives(files: DataFrame, path: str = "path") -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, kind)
 
     n = files.count()
-    return files.select(F.col(quoted(path)).alias("path")).repartitionByRange(max(1, n), "path").mapInArrow(read, SCHEMA)
+    return picked(files, path).toDF("path").repartitionByRange(max(1, n), "path").mapInArrow(read, SCHEMA)
+
+
+_NAMED = re.compile(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+
+
+def _unchunked(body: bytes) -> bytes:
+    """ValueError where the chunks aren't whole."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at : max(end, at)].split(b";")[0].strip()
+        if end < 0 or not re.fullmatch(rb"[0-9A-Fa-f]{1,16}", size):
+            raise ValueError("the chunks are broken")
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        if len(body) < end + 2 + n:
+            raise ValueError("the chunks are cut off")
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def _unpacked(body: bytes, coding: str) -> bytes:
+    """ValueError where the body can't be decoded."""
+    try:
+        if coding in ("gzip", "x-gzip", "deflate"):
+            try:
+                d = zlib.decompressobj(47)
+                got = d.decompress(body) + d.flush()
+            except zlib.error:
+                if coding != "deflate":
+                    raise
+                d = zlib.decompressobj(-15)  # without its header, as some servers send it
+                got = d.decompress(body) + d.flush()
+            if not d.eof:
+                raise ValueError("the body is cut off")
+            return got
+        if coding == "zstd":
+            import zstandard
+
+            return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+    except ValueError:
+        raise
+    except Exception as error:  # zlib's and zstandard's own
+        raise ValueError(f"the body can't be decoded: {error}") from None
+    if coding in ("", "identity"):
+        return body
+    raise ValueError(f"coding {coding} isn't read")
+
+
+def _text(body: bytes, kind: str) -> str:
+    named = re.search(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", kind, re.I)
+    sniffed = None if named else _NAMED.search(body[:4096])
+    name = named[1] if named else sniffed[1].decode("ascii", "replace") if sniffed else "utf-8"
+    if body.startswith(b"\xef\xbb\xbf"):
+        name, body = "utf-8", body[3:]
+    try:
+        name = codecs.lookup(name).name
+    except (LookupError, ValueError):
+        name = "utf-8"
+    if name in ("iso8859-1", "ascii"):
+        name = "cp1252"  # as browsers read them
+    try:
+        return body.decode(name, "replace")
+    except (LookupError, UnicodeError):  # no character set, such as rot13, or one that replaces nothing
+        return body.decode("utf-8", "replace")
+
+
+def page_of(block: bytes) -> tuple[int | None, str | None, str | None]:
+    """Page id, HTML and what is wrong, of an HTTP response."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    page, wrong = fields.get("x-page-id"), None
+    length = fields.get("content-length")
+    coded = [c for f in ("content-encoding", "transfer-encoding") for c in fields.get(f, "").lower().replace(" ", "").split(",") if c]
+    if "chunked" not in coded and length is not None and length != str(len(body)) or length is None and not coded and not body and "x-absent" not in fields:
+        wrong = "the HTTP length differs"
+    for coding in reversed(coded):
+        try:
+            body = _unchunked(body) if coding == "chunked" else _unpacked(body, coding)
+        except ValueError as error:
+            wrong = str(error)
+            break
+    html = None if fields.get("x-absent") == "body" else _text(body, fields.get("content-type", ""))
+    return int(page) if page and page.lstrip("-").isdigit() and len(page) < 19 else None, html, wrong
 
 
 def pages_of(records: DataFrame) -> DataFrame:
-    """(page_id, url, html, error) of response records; damaged records have their error."""
+    """(page_id, url, html, error) of response records; damaged records have their error. page_id is
+    that which ``write_pages`` put down; archives made elsewhere have none."""
 
     def http(blocks: pa.Array) -> pa.Array:
         out = []
-        for b in blocks.to_pylist():
-            if b is None:
-                out.append(None)
-                continue
-            head, _, body = b.partition(b"\r\n\r\n")
-            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-            page = fields.get("x-page-id")
-            wrong = None if fields.get("content-length") == str(len(body)) else "the HTTP length differs"
-            out.append({"page_id": int(page) if page and page.lstrip("-").isdigit() else None, "html": None if fields.get("x-absent") == "body" else body.decode("utf-8", "replace"), "wrong": wrong})
+        for b in blocks:
+            b = b.as_py()
+            out.append(None if b is None else dict(zip(("page_id", "html", "wrong"), page_of(b))))
         return pa.array(out, pa.struct([("page_id", pa.int64()), ("html", pa.string()), ("wrong", pa.string())]))
 
     kind = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("html", T.StringType()), T.StructField("wrong", T.StringType())])
