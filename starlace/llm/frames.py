@@ -72,12 +72,14 @@ def kept_names(operator):
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share. spark.checkpoint.dir names it; only
-    where that is unset, as in tests, is a folder chosen here."""
+    """A new path in the folder that all executors share. spark.checkpoint.dir names it; where that
+    is unset a folder is chosen here, if all runs on this machine alone."""
     base = spark.conf.get(CHECKPOINTS, None) or spark.sparkContext.getConf().get(CHECKPOINTS, None)
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINTS} must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set(CHECKPOINTS, base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -9,10 +9,11 @@ Survivors are verified on the shingle sets themselves.
 Groups are the connected components of the verified pairs. Within a bucket of n documents not
 all n^2 pairs need looking at: two documents that both verify against documents of one group
 are in that group already. So buckets are compared with their least member first, and only
-the members that this leaves apart are compared with all the others. No bucket is capped.
+the members that this leaves apart are compared with all the others. No bucket is capped, so the
+work is the square of the number of documents in a bucket that are near none of its others.
 
 Defined results: the id says which document a row is, so rows that share an id are one
-document, and one of them (that with the least text) stays. A null id is no id: such rows
+document: it is near another if any of its texts is, and one row (that with the least text) stays. A null id is no id: such rows
 are never grouped and stay. A text without words is never grouped and stays. A text of one
 or two words has itself as its one shingle. Ties: the least id of a group stays. Texts are
 taken whole. Other columns are carried along.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .frames import checked_broadcast, fresh, kept_names, own, quoted, written
+from .frames import checked_broadcast, cleared, fresh, kept_names, own, quoted, written
 from .textops import Words, bounded, lazily, mix, windows
 
 #: Production parameters: words a shingle; Jaccard similarity; bands and hashes a band.
@@ -208,7 +209,7 @@ def _exact_stars(labelled: DataFrame, k: int, threshold: float) -> DataFrame:
     A group's texts come together, that of its least id first, so each text is moved once."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, its = None, np.empty(0, np.uint64)
+        centre, its = None, []  # a group's least id, and the sets of its texts
         for batch in batches:
             ids, groups, texts = batch.column("id").to_pylist(), batch.column("group").to_pylist(), lazily(batch.column("text"))
             a, b = [], []
@@ -218,8 +219,8 @@ def _exact_stars(labelled: DataFrame, k: int, threshold: float) -> DataFrame:
                 for d in range(len(some)):
                     i, g, mine = ids[done + d], groups[done + d], h[f[d] : f[d + 1]]
                     if i == g:
-                        centre, its = g, mine.copy()
-                    elif g == centre and jaccard(its, mine) >= threshold:
+                        centre, its = g, [*(its if centre == g else []), mine.copy()]
+                    elif g == centre and any(jaccard(x, mine) >= threshold for x in its):
                         a.append(g)
                         b.append(i)
                 done += len(some)
@@ -237,20 +238,28 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     plain = docs.select(F.col(quoted(id)).cast("bigint").alias("id"), F.col(quoted(text)).alias("text")).where(F.col("id").isNotNull())
     made = written(plain.select("id", sketch(F.col("text"), k, hashes).alias("s")).where("s is not null").select("id", "s.*"), "sketches")
 
+    # rows that share an id: each of its texts once
+    again = written(made.groupBy("id").count().where("count > 1").select("id"), "again")
+    if shared := again.count():
+        few = checked_broadcast(again, shared, BROADCAST_ROWS)
+        made = made.join(few, "id", "left_anti").unionByName(made.join(few, "id", "left_semi").dropDuplicates(["id", "n", "h1", "h2"]))
+        plain = plain.join(few, "id", "left_anti").unionByName(plain.join(few, "id", "left_semi").distinct())
+
     # copies of a whole set are one representative
     same = ["h1", "h2", "n"]
     reps = made.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     copies = written(made.select("id", *same).join(reps.where("copies > 1"), same).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "copies")
-    distinct = made.join(copies.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", "sig").dropDuplicates(["id"])
+    distinct = made.join(reps.select(F.col("rep").alias("id"), *same), ["id", *same], "left_semi").select("id", "sig") if shared else made.join(copies.select(F.col("b").alias("id")), "id", "left_anti").select("id", "sig")
 
     keyed = distinct.select("id", F.explode(band_keys(F.col("sig"), rows)).alias("key")).repartition("key")
     lead = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead != last").select("key", "lead")
     members = written(keyed.join(lead.hint("shuffle_hash"), "key"), "members")
-    sigs = made.select("id", "sig").dropDuplicates(["id"])
+    sigs = made.select("id", "sig")
 
     def plausible_pairs(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        return both.where(plausible(F.col("sa"), F.col("sb"), threshold, batch, miss, hashes)).select("a", "b")
+        got = both.where(plausible(F.col("sa"), F.col("sb"), threshold, batch, miss, hashes)).select("a", "b")
+        return got.distinct() if shared else got
 
     stars = members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     stars = written(plausible_pairs(stars), "stars")
@@ -267,8 +276,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        own = plain.join(checked_broadcast(ids, ids.count(), BROADCAST_ROWS), "id").dropDuplicates(["id"])
-        return _exact_pairs(pairs, own, k, threshold)
+        return _exact_pairs(pairs, plain.join(checked_broadcast(ids, ids.count(), BROADCAST_ROWS), "id"), k, threshold)
 
     label = first.select(F.col("b").alias("id"), F.col("a").alias("group"))
     rest = written(apart(stars, label), "rest")
@@ -277,7 +285,9 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
 
     loose = written(apart(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b"), "key"), label, "key").select("key", F.col("b").alias("c")), "loose")
     others = members.select("key", F.col("id").alias("x")).join(loose, "key").where("x != c").select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
-    third = written(verified(written(plausible_pairs(apart(others, label)), "late")), "verified")
+    late = written(plausible_pairs(apart(others, label)), "late")
+    third = written(verified(late), "verified")
+    cleared(spark, made, members, stars, guess, rest, label, loose, late)
     return components(first.union(second).union(third).union(copies))
 
 

@@ -39,8 +39,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters a block; distinct segments that a worker remembers.
 BLOCK, REMEMBER = 1_000_000, 500_000
-#: A longer segment of a BPE model is merged one by one: alone in its length, it would be advanced character by character.
-_LONG = 1 << 14
+#: A longer segment is encoded one by one: alone in its length, it would be advanced character by character.
+_LONG = 1 << 10
 
 
 class Vocabulary:
@@ -321,13 +321,12 @@ class Encoder:
 
     def _learn(self, hashes: np.ndarray, segments: list[np.ndarray], texts: list[str], slow: np.ndarray) -> None:
         ids: list = [None] * len(segments)
-        if self.v.bpe:
-            slow = slow | np.array([len(s) > _LONG for s in segments], bool)
+        slow = slow | np.array([len(s) > _LONG for s in segments], bool)
         fast = np.flatnonzero(~slow)
         for r, x in zip(fast.tolist(), self.v.encode_segments([segments[k] for k in fast])):
             ids[r] = x
         for r in np.flatnonzero(slow).tolist():
-            ids[r] = np.array(self.v.merge(texts[r]))
+            ids[r] = np.array(self.v.merge(texts[r]) if self.v.bpe else self._unigram(texts[r]))
         self._keep(hashes, ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -429,12 +428,12 @@ class Encoder:
         return done
 
     def _unigram(self, text: str) -> list[int]:
-        n = len(text)
+        n, find = len(text), self.v.id_of.get
         floor = float(self.v.score.min()) - 10.0  # of a character that no piece has
         best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
         for j in range(1, n + 1):
             for k in range(max(0, j - self.v.longest), j):
-                i = self.v.id_of.get(text[k:j], -1)
+                i = find(text[k:j], -1)
                 if i < 0 and k < j - 1:
                     continue
                 s = best[k] + (self.v.score[i] if i >= 0 else floor)
