@@ -8,14 +8,16 @@ margin) is taken. Then the non-negative unbiased risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-is minimised, turning back whenever the second term falls below zero. A document is kept when
-its score, the probability of being good, is at least ``KEEP``.
+is minimised with the logistic loss, by Newton's steps; a step that would bring the second term
+below zero is turned back by halves. A document is kept when its score, the probability of being
+good, is at least ``KEEP``.
 
-The features are counts over whole texts. The classifier is fitted on a bounded sample, chosen
-by a hash of the id: at most ``POSITIVES`` labelled and ``UNLABELLED`` unlabelled documents.
+The features are counts over whole texts. Means, gradients and curvatures are sums over all
+documents and all trusted positives, a job each; nothing is sampled, and the driver holds numbers
+of features alone.
 
 Defined results: null and empty texts have a row of zero features and are scored like others;
-a null id is scored but never sampled or trusted; a document labelled both good and bad isn't
+a null id is scored but never trusted; a document labelled both good and bad isn't
 trusted; repeated labels count once, repeated documents are scored each; without any trusted
 positives every score is null and every document is kept; other columns are carried along.
 """
@@ -31,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import kept_names, own, quoted, written
+from .frames import kept_names, own, picked, quoted, written
 from .textops import Words, bounded, lazily
 
-#: Production parameters: the bounds of the sample, steps of descent, and the least score kept.
-POSITIVES, UNLABELLED, STEPS, KEEP = 20_000, 40_000, 400, 0.5
+#: Production parameters: looks at the risk, its least decrease, weight decay, and the least score kept.
+STEPS, ENOUGH, DECAY, KEEP = 40, 1e-4, 1e-4, 0.5
+#: Weights tried in the search for that of the term that must not be negative.
+LOOKS = 8
 #: Bins of the score histogram from which the prior is read, and its confidence level.
 BINS, DELTA = 1000, 0.1
 _BLOCK = 1_000_000
@@ -134,44 +138,103 @@ class Linear:
     weight: np.ndarray
     bias: float
 
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """What weights are multiplied with; the last is 1."""
+        return np.pad(np.clip((_expand(x.astype(np.float64)) - self.mean) / self.scale, -8, 8), ((0, 0), (0, 1)), constant_values=1.0)
+
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((_expand(x.astype(np.float64)) - self.mean) / self.scale, -8, 8) @ self.weight + self.bias
+        return self.inputs(x) @ np.append(self.weight, self.bias)
+
+    def weighted(self, w: np.ndarray) -> Linear:
+        return Linear(self.mean, self.scale, w[:-1], float(w[-1]))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _descend(xp: np.ndarray, xu: np.ndarray, gradient, steps: int) -> Linear:
-    both = _expand(np.concatenate([xp, xu]).astype(np.float64))
-    mean, scale = both.mean(0), both.std(0) + 1e-6
-    p, u = (np.clip((_expand(x.astype(np.float64)) - mean) / scale, -8, 8) for x in (xp, xu))
-    w = np.zeros(p.shape[1] + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        gp, gu = gradient(p @ w[:-1] + w[-1], u @ w[:-1] + w[-1])
-        g = np.append(gp @ p + gu @ u + 1e-4 * w[:-1], gp.sum() + gu.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Linear(mean, scale, w[:-1].copy(), float(w[-1]))
+@dataclass
+class Sums:
+    """Over rows, at some weights: their number, losses as bad and as good, sums of features, of
+    scores times features and of curvatures. The last feature is 1."""
+
+    n: float
+    bad: float
+    good: float
+    x: np.ndarray
+    score: np.ndarray
+    curve: np.ndarray
+
+    @staticmethod
+    def flat(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        z = x @ w
+        p = _sigmoid(z)
+        return np.concatenate([[len(x), np.logaddexp(0, z).sum(), np.logaddexp(0, -z).sum()], x.sum(0), p @ x, ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+
+    @staticmethod
+    def of(flat: np.ndarray, d: int) -> Sums:
+        n, bad, good = flat[:3].tolist()
+        return Sums(n, bad / n, good / n, flat[3 : 3 + d] / n, flat[3 + d : 3 + 2 * d] / n, flat[3 + 2 * d :].reshape(d, d) / n)
+
+
+def _newton(w: np.ndarray, look, risk, steps: int) -> tuple[np.ndarray, tuple]:
+    """Minimises a convex risk. look(w): sums of positives and of unlabelled rows; risk of them: value,
+    gradient and curvature. Weights, and the sums at them."""
+    decay = DECAY * np.append(np.ones(len(w) - 1), 0.0)
+    sums = look(w)
+    value, gradient, curve = risk(*sums)
+    value += (decay * w * w).sum() / 2
+    step = None
+    for _ in range(steps):
+        if step is None:
+            step = np.linalg.solve(curve + np.diag(decay + 1e-6), gradient + decay * w)
+        there = look(w - step)
+        new, gradient, curve = risk(*there)
+        new += (decay * (w - step) ** 2).sum() / 2
+        if new > value + 1e-12:
+            step = step / 2
+            if np.abs(step).max() < 1e-6:
+                break
+            continue
+        w, sums, done, value, step = w - step, there, value - new < ENOUGH, new, None
+        if done:
+            break
+    return w, sums
 
 
-def plain(xp: np.ndarray, xu: np.ndarray, steps: int = STEPS) -> Linear:
+def plain(look, d: int, steps: int = STEPS) -> np.ndarray:
     """Positives from unlabelled text, by balanced logistic loss."""
-    return _descend(xp, xu, lambda zp, zu: (-_sigmoid(-zp) / len(zp) / 2, _sigmoid(zu) / len(zu) / 2), steps)
-
-
-def non_negative(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = STEPS) -> Linear:
-    """Minimises the non-negative risk with the logistic loss."""
-
-    def gradient(zp: np.ndarray, zu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        np_, nu = len(zp), len(zu)
-        good = -prior * _sigmoid(-zp) / np_  # of prior * R_p(+)
-        bad_p, bad_u = -prior * _sigmoid(zp) / np_, _sigmoid(zu) / nu  # of R_u(-) - prior * R_p(-)
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        return (-bad_p, -bad_u) if rest < 0 else (good + bad_p, bad_u)
-
-    return _descend(xp, xu, gradient, steps)
+    return _newton(np.zeros(d), look, lambda p, u: ((p.good + u.bad) / 2, (p.score - p.x + u.score) / 2, (p.curve + u.curve) / 2), steps)[0]
+
+
+def non_negative(look, d: int, prior: float, steps: int = STEPS) -> np.ndarray:
+    """Minimises the non-negative risk. With the second term weighed by some share of 1 the risk is
+    convex, as the losses of a positive as good and as bad differ by its margin alone. Where the
+    whole weight takes that term below zero, the least of the non-negative risk is where the term
+    is zero, at the weight that brings it there."""
+
+    def rest(p: Sums, u: Sums) -> float:
+        return u.bad - prior * p.bad
+
+    def solved(w: np.ndarray, share: float) -> tuple[np.ndarray, tuple]:
+        return _newton(w, look, lambda p, u: (prior * p.good + share * rest(p, u), prior * (p.score - p.x) + share * (u.score - prior * p.score), prior * (1 - share) * p.curve + share * u.curve), steps)
+
+    w, sums = solved(np.zeros(d), 1.0)
+    if rest(*sums) >= 0:
+        return w
+    # the term falls as its weight grows; false position, with the stale end halved
+    low, high, over, under, best, side = 0.0, 1.0, None, rest(*sums), None, 0
+    for _ in range(LOOKS):
+        share = (low + high) / 2 if over is None else (low * under - high * over) / (under - over)
+        w, sums = solved(w, share)
+        left = rest(*sums)
+        if left >= 0:
+            low, over, best, under, side = share, left, w, under / 2 if side == 1 else under, 1
+            if left < ENOUGH:
+                break
+        else:
+            high, under, over, side = share, left, over / 2 if side == -1 and over is not None else over, -1
+    return w if best is None else best
 
 
 def prior_of(positives: np.ndarray, corpus: np.ndarray, delta: float = DELTA) -> float:
@@ -190,23 +253,29 @@ def prior_of(positives: np.ndarray, corpus: np.ndarray, delta: float = DELTA) ->
     return float(np.clip(all_[k] / share[k], 0.01, 0.99))
 
 
-def _histogram(x: DataFrame, model) -> np.ndarray:
-    """How many rows' scores fall into each bin."""
+def _summed(x: DataFrame, each, size: int) -> np.ndarray:
+    """The sum of each(rows of features), a vector, over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BINS, np.int64)
+        total = np.zeros(size)
         for batch in batches:
-            z = _margins(batch.column(0), model.value)
-            total += np.bincount(np.minimum((_sigmoid(z) * BINS).astype(int), BINS - 1), minlength=BINS)
+            rows = _rows(batch.column(0))
+            for k in range(0, len(rows), 20_000):
+                total += each(rows[k : k + 20_000])
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bin", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    got = x.mapInArrow(count, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BINS)
-    out[got["bin"].to_numpy()] = got["n"].to_numpy()
+    got = x.select("x").mapInArrow(count, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
+def _histogram(x: DataFrame, model) -> np.ndarray:
+    """How many rows' scores fall into each bin."""
+    return _summed(x, lambda rows: np.bincount(np.minimum((_sigmoid(model.value.margin(rows)) * BINS).astype(int), BINS - 1), minlength=BINS), BINS)
+
+
 def _rows(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES)) if len(column) else np.empty((0, len(NAMES)), np.float32)
 
@@ -215,32 +284,36 @@ def _margins(column, model: Linear) -> np.ndarray:
     return model.margin(_rows(column))
 
 
-def _sampled(x: DataFrame, limit: int) -> np.ndarray:
-    """The rows whose ids have the smallest hashes; about twice as many as are wanted are sorted."""
-    n, h = x.count(), F.xxhash64("id")
-    low = x.where(h < -(1 << 63) + int((1 << 64) * min(1.0, 2 * limit / n))) if n > 4 * limit else x
-    if n > 4 * limit and low.count() < limit:  # many rows share an id
-        low = x
-    return _rows(low.orderBy(h, "id", "x").limit(limit).select("x").toArrow()["x"].combine_chunks())
-
-
 @dataclass
 class Quality:
     prior: float
     model: Linear
 
 
-def fit(x: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED, steps: int = STEPS) -> Quality | None:
+def fit(x: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "quality", steps: int = STEPS) -> Quality | None:
     """x: (id, x) of all documents."""
-    sc = x.sparkSession.sparkContext
+    sc, d = x.sparkSession.sparkContext, 2 * len(NAMES)
+    labels = picked(labels, id, label)
     trusted = labels.where(F.col(quoted(id)).isNotNull() & F.col(quoted(label)).isNotNull()).groupBy(F.col(quoted(id)).cast("bigint").alias("id")).agg(F.min(quoted(label)).alias("low")).where("low = 1").select("id")
     good = written(x.where("id is not null").join(trusted, "id", "left_semi"), "trusted")
-    xp, xu = _sampled(good, positives), _sampled(x.where("id is not null"), unlabelled)
-    if not len(xp) or not len(xu):
+    if not good.count():
         return None
-    first = sc.broadcast(plain(xp, xu, steps))
-    prior = prior_of(_histogram(good.select("x"), first), _histogram(x.select("x"), first))
-    return Quality(prior, non_negative(xp, xu, prior, steps))
+
+    def powers(rows: np.ndarray) -> np.ndarray:
+        e = _expand(rows.astype(np.float64))
+        return np.concatenate([[len(e)], e.sum(0), (e * e).sum(0)])
+
+    sums = _summed(x, powers, 1 + 2 * d)
+    mean = sums[1 : 1 + d] / sums[0]
+    blank = Linear(mean, np.sqrt(np.maximum(0.0, sums[1 + d :] / sums[0] - mean**2)) + 1e-6, np.zeros(d), 0.0)
+
+    def look(w: np.ndarray) -> tuple[Sums, Sums]:
+        each = lambda rows: Sums.flat(blank.inputs(rows), w)
+        return tuple(Sums.of(_summed(some, each, 3 + 2 * (d + 1) + (d + 1) ** 2), d + 1) for some in (good, x))
+
+    first = sc.broadcast(blank.weighted(plain(look, d + 1, steps)))
+    prior = prior_of(_histogram(good, first), _histogram(x, first))
+    return Quality(prior, blank.weighted(non_negative(look, d + 1, prior, steps)))
 
 
 @kept_names
