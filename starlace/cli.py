@@ -42,6 +42,17 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
+def scan_times(g: Graph, pattern: str, semantics: str, roots: list[int] | None) -> list[tuple[int, int, int]]:
+    """Root, its label and milliseconds, of each star made by itself."""
+    p = as_pattern(pattern)
+    out = []
+    for r in roots or decompose(p, g.frequency):
+        began = time.time()
+        g.star(pattern, r, semantics=semantics).write.format("noop").mode("overwrite").save()
+        out.append((r, p.labels[r], round((time.time() - began) * 1000)))
+    return out
+
+
 def _run(spark: SparkSession, a: argparse.Namespace) -> None:
     began = time.time()
     g = Graph.load(spark, a.path)
@@ -63,6 +74,8 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> None:
             for row in rows.toLocalIterator():
                 print(*row)
     elif a.join_method == "scan":
+        for root, label, ms in scan_times(g, a.execute, **how):
+            say(f"scan_time(u{root}, {label}): {ms}")
         g.match(a.execute, mode="factorized", index=a.index_type, **how).write.format("noop").mode("overwrite").save()
     else:
         mode = "factorized" if a.join_method == "count-rows" else "flat"

@@ -41,7 +41,7 @@ class Pattern:
         """Labels of edges between different vertices."""
         return {k for x in self.pairs.values() for k in x.labels()}
 
-    # -- building -------------------------------------------------------------------------
+    # building
 
     def add_vertex(self, u: int, label: int) -> Pattern:
         if u in self.labels:
@@ -106,7 +106,7 @@ class Pattern:
         self.constraints = [e for e in self.constraints if u not in e.vertices()]
         return self
 
-    # -- reading --------------------------------------------------------------------------
+    # reading
 
     def vertices(self) -> list[tuple[int, int]]:
         return sorted(self.labels.items())

@@ -51,7 +51,7 @@ class Graph:
         self._once: DataFrame | None = None
         self._edge_counts: dict[int, dict[tuple[int, int, int], int]] = {}
 
-    # -- sources --------------------------------------------------------------------------
+    # sources
 
     @classmethod
     def from_tables(cls, vertices: DataFrame, edges: DataFrame, layout: str = "multiple", order: str | None = None) -> Graph:
@@ -118,7 +118,7 @@ class Graph:
             g._edge_counts.setdefault(e, {})[s, e, d] = n
         return g
 
-    # -- build and export -----------------------------------------------------------------
+    # build and export
 
     def save(self, path: str, mode: str = "error") -> Graph:
         """Vertices by label; edges by the labels of edge and ends, each once with the number of times
@@ -179,7 +179,7 @@ class Graph:
         g = self.reduced if self.layout == "single" else self
         return g.connected_vertices().orderBy("vid"), g.edges.select("src", "dst", "elabel").orderBy("src", "dst", "elabel")
 
-    # -- statistics -----------------------------------------------------------------------
+    # statistics
 
     def connected_vertices(self) -> DataFrame:
         a = self.labelled
@@ -239,7 +239,7 @@ class Graph:
             raise GraphDataError(f"{lost[0][0]} has an edge but is no vertex")
         return self
 
-    # -- queries --------------------------------------------------------------------------
+    # queries
 
     def match(self, pattern, **how) -> DataFrame:
         """Matches: see starlace.operators.match.match."""

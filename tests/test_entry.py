@@ -37,6 +37,7 @@ def test_every_pattern_query_has_sql():
 @pytest.mark.parametrize("name", [
     "q_local_suppliers", "e6_not", "e11_remainder_negative", "q3_q4_arcs_and_edges", "p6_pair_many_labels", "p6_arc_and_edge_one_label", "p6_either_way", "p10_global_constraint", "j1_star", "j8_leaf_intersection", "j12_components",
     "a2_triangles", "a7_star_statistics", "r2_decompress_join", "s12_label_groups", "s14_degrees", "compat_degree_filter", "compat_collapsed_count", "compat_single_layout",
+    "s5_edges_with_repeats", "s7_saved_star_count", "s19_single_layout_folder",
 ])
 def test_against_sql(spark, duck, name):
     df = driver.queries()[name](spark, SF)
@@ -49,10 +50,24 @@ def test_against_sql(spark, duck, name):
 
 
 def test_without_the_corpus_operators(tmp_path):
+    """With the corpus operators and their tests gone the rest imports, and its tests pass."""
     shutil.copytree(os.path.join(ROOT, "starlace"), tmp_path / "starlace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(os.path.join(ROOT, "tests"), tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not [k for k in q if k.startswith('op')], q; e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    there = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=there)
+    rest = "not without_the_corpus_operators and (test_language or test_entry or test_patterns)"
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-x", "-k", rest, "-p", "no:cacheprovider"], cwd=tmp_path, check=True, env=there)
+
+
+def test_a_missing_pipeline_is_not_passed_over(tmp_path):
+    shutil.copytree(os.path.join(ROOT, "starlace"), tmp_path / "starlace", ignore=shutil.ignore_patterns("__pycache__"))
+    if not (tmp_path / "starlace" / "llm").exists():
+        pytest.skip("the corpus operators aren't here")
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert got.returncode and "corpus_pipeline" in got.stderr
 
 
 def test_one_scan_for_each_pattern_edge(spark):
@@ -61,3 +76,34 @@ def test_one_scan_for_each_pattern_edge(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "customer.parquet" not in plan and "events.parquet" not in plan
     assert plan.count("Exchange hashpartitioning(u1") == 2  # two leaf classes; nothing is moved again
+
+
+def _plan(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_leaves_are_met_from_the_root_with_the_fewest(spark):
+    """The diamond's tuples meet the parts of their order, not those of their supplier: the first
+    join of a leaf is by u1 alone, the second by the supplier and the part."""
+    from starlace.sources.testgraph import graph
+
+    df = graph(spark, SF).count(queries.DIAMOND, roots=[1, 4])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert any("u4" in j and "u2" in j for j in joins) and not any("u1" in j and "u2" in j for j in joins)
+
+
+def test_a_saved_graph_moves_nothing_to_make_sets(spark, tmp_path):
+    from starlace.sources.testgraph import graph
+
+    g = graph(spark, SF).save(f"file://{tmp_path}/g")
+    plan = g.match(queries.LOCAL_SUPPLIERS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Distinct" not in plan
+    assert g.count(queries.STAR).collect() == graph(spark, SF).count(queries.STAR).collect()
+
+
+def test_isomorphic_stars_are_read_once(spark):
+    """Three arcs of one kind: their relations are moved once and used again."""
+    df = driver.queries()["l4_isomorphic_stars"](spark, SF)
+    assert "ReusedExchange" in _plan(df)
