@@ -8,8 +8,8 @@ are read as well: with any dictionary or none, chunked or compressed bodies, any
 that the HTTP header or the page names.
 
 The writer makes archives of a table of pages, one for each task, in the shared folder. Their
-dictionary is trained on ``TRAINED_ON`` pages, those with the least hashes of all that have no more
-than ``SAMPLE`` characters (so that the driver's memory is bounded); where they are
+dictionary is trained on about ``TRAINED_ON`` pages, drawn from all that have no more than
+``SAMPLE`` characters (so that the driver's memory is bounded); where they are
 too few or too alike to train on, it is their text itself. What it is changes no record. A task
 names its file anew each time it runs, and only the names that a finished task returns are read,
 so a lost executor or a task run twice does no harm.
@@ -119,7 +119,8 @@ def write_pages(pages: DataFrame, folder: str, id: str = "page_id", url: str = "
     """Archives of all pages, one a task. (path, records) of those that were written."""
     pages = picked(pages, id, url, html)
     pages = pages.select(F.col(id).cast("bigint").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    sample = pages.where(F.length("html") <= SAMPLE).orderBy(F.xxhash64("id", "url")).limit(TRAINED_ON).select("html").toArrow()
+    share = min(1.0, TRAINED_ON / max(1, pages.count()))
+    sample = pages.sample(share, seed=1).where(F.length("html") <= SAMPLE).select("html").toArrow()
     shared = pages.sparkSession.sparkContext.broadcast(dictionary_of([page_record(k, None, h, str(k)) for k, h in enumerate(sample["html"].to_pylist())]))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
