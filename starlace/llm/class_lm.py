@@ -8,6 +8,11 @@ their hash to parts, whose number follows the corpus; a batch of texts asks the
 words by a shuffle, and no table of words is broadcast or collected. A word's number is its part
 and its place there, frequent words first. There are ``CLASSES`` classes at any size.
 
+Each part tells each other part of classes, a row for every two parts. So beyond ``_FEW`` parts
+their number grows as the root of the corpus, and the rows in proportion to it, until a part has
+as much text as memory allows: ``_MOST`` times ``_SHARE`` words. From there parts are as many more
+as the corpus is larger.
+
 Classes come from the exchange algorithm: each word moves to the class that raises the likelihood
 of the corpus most, exactly reckoned against the class counts at hand. A pass visits the parts in
 parallel against the same class counts; within a part frequent words go one by one, rare ones
@@ -27,9 +32,11 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +51,8 @@ from .textops import Words, bounded, lazily, mix
 CLASSES, PASSES, PRIOR, ADD = 64, 5, 50.0, 0.5
 #: Characters taken to words at once; words of a batch of texts; words of text for each part.
 _BLOCK, _BATCH, _SHARE = 1_000_000, 2_000_000, 1_000_000
+#: Parts beyond which their share grows; what it grows to, in _SHARE; pairs added up at once.
+_FEW, _MOST, _UNITED = 48, 6, 1_000_000
 #: Tasks of a shuffle at most; a task goes through its parts one by one.
 _TASKS = 20_000
 #: Words that stand more often are visited one by one; others so many together, in chunks of places.
@@ -59,21 +68,24 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0)))) if x.dtype.kind in "iu" else x
 
 
-def _dump(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers from 0: no wider than they must be, byte place by byte place, compressed."""
+@cache
+def _packer():
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _dump(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers from 0: no wider than they must be, byte place by byte place, compressed."""
     held = []
     for x in map(_narrow, arrays):
         held.append((x.dtype.str, x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()))
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(held, pickle.HIGHEST_PROTOCOL))
+    return _packer()[0].compress(pickle.dumps(held, pickle.HIGHEST_PROTOCOL))
 
 
 def _load(blob: bytes) -> list[np.ndarray]:
-    import zstandard
-
     out = []
-    for kind, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)):
+    for kind, raw in pickle.loads(_packer()[1].decompress(blob)):
         size = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel())
     return out
@@ -83,12 +95,29 @@ def _wide(blob: bytes) -> list[np.ndarray]:
     return [x.astype(np.int64) for x in _load(blob)]
 
 
+def _lean(blob: bytes) -> list[np.ndarray]:
+    """Of 32 bits at most, or signed: what may be joined with others and counted."""
+    return [x.astype(np.int64) if x.itemsize == 8 else x for x in _load(blob)]
+
+
+def _along(steps: np.ndarray) -> np.ndarray:
+    """The ascending numbers that the steps lead to."""
+    x = np.cumsum(steps, dtype=np.int64)
+    return x if len(x) and x[-1] >> 32 else x.astype(np.uint32)
+
+
 def _rows(part: list, side: list, blob: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(side, pa.int64()), pa.array(blob, pa.binary())], ["part", "side", "blob"])
 
 
-def _by_part(rows: DataFrame, parts: int, each, kind: str = _KEYED) -> DataFrame:
-    """each(part, [(side, blob)]) for every part, all of whose rows come together."""
+def _parts(words: int) -> int:
+    share = min(max(_SHARE, math.isqrt(words * _SHARE // _FEW)), _MOST * _SHARE)
+    return max(4, -(-words // share))
+
+
+def _by_part(rows: DataFrame, parts: int, each, kind: str = _KEYED, in_turn: bool = True) -> DataFrame:
+    """each(part, [(side, blob)]) for every part, all of whose rows come together. in_turn: parts
+    are numbered from 0, and go to tasks in turn; others by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, some = None, []
@@ -102,7 +131,9 @@ def _by_part(rows: DataFrame, parts: int, each, kind: str = _KEYED) -> DataFrame
         if some:
             yield from each(now, some)
 
-    return rows.repartition(max(1, min(parts, _TASKS)), "part").sortWithinPartitions("part").mapInArrow(run, kind)
+    tasks = max(1, min(parts, _TASKS))
+    dealt = rows.repartitionById(tasks, (F.col("part") % tasks).cast("int")) if in_turn else rows.repartition(tasks, "part")
+    return dealt.sortWithinPartitions("part").mapInArrow(run, kind)
 
 
 def _each_row(rows: DataFrame, each, kind: str = _KEYED) -> DataFrame:
@@ -228,7 +259,7 @@ def _answered(batches: DataFrame, count: int, answers: DataFrame, parts: int, ea
                     got[k][order[cut[p] : cut[p + 1]]] = x
         yield from each(size.astype(np.int64), at.astype(np.int64), part, got, of.get(_ROWS))
 
-    return _by_part(batches.select("part", "side", "blob").union(turned), count, run, kind)
+    return _by_part(batches.select("part", "side", "blob").union(turned), count, run, kind, in_turn=False)
 
 
 def _before(now: np.ndarray, size: np.ndarray, boundary: int) -> np.ndarray:
@@ -263,64 +294,102 @@ def _followers(batches: DataFrame, count: int, named: DataFrame, parts: int) ->
             yield _rows(few, [0] * len(few), [_dump(_steps(place[a[x:y]]), part[b[x:y]], place[b[x:y]], n[x:y]) for x, y in ((edge[p], edge[p + 1]) for p in few)])
 
     def merge(part: int, some: list) -> Iterator[pa.RecordBatch]:
-        yield _rows([part], [0], [_linked(*_united([_placed(blob) for _, blob in some]))])
+        yield _rows([part], [0], [_linked(*_gathered(_placed(blob) for _, blob in some))])
 
     return _by_part(_answered(batches.where(f"side = {_OWN}"), count, named, parts, pairs, _KEYED), parts + 1, merge)
 
 
 def _placed(blob: bytes) -> list[np.ndarray]:
     """Place, other part, other place, how often."""
-    steps, *rest = _wide(blob)
-    return [np.cumsum(steps), *rest]
-
-
-def _united(held: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """Equal pairs summed; by place, other part and other place."""
-    a, p, b, n = (np.concatenate([x[k] for x in held]) for k in range(4))
-    high, low = int(p.max(initial=0)) + 1, int(b.max(initial=0)) + 1
-    if (int(a.max(initial=0)) + 1) * high * low < 1 << 62:
-        key = (a * high + p) * low + b
+    steps, *rest = _lean(blob)
+    return [_along(steps), *rest]
+
+
+def _gathered(pairs: Iterator[list[np.ndarray]]) -> list[np.ndarray]:
+    """Equal pairs summed, of any number of lists by place. They are united whenever as many again
+    have come, so what is held follows the different pairs, and not how often they come."""
+    held, size, bound = [], 0, 4 * _UNITED
+    for x in pairs:
+        held.append(x)
+        size += len(x[0])
+        if size > bound:
+            held = [_united(held)]
+            size = len(held[0][0])
+            bound = max(4 * _UNITED, 2 * size)
+    return _united(held)
+
+
+def _united(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Equal pairs summed; by place, other part and other place. A run of places at a time."""
+    total = np.zeros(1 + max((int(x[0][-1]) for x in held if len(x[0])), default=0), np.int64)
+    for x in held:
+        of = np.bincount(x[0])
+        total[: len(of)] += of
+    total = np.cumsum(total)
+    edge = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(_UNITED, total[-1], _UNITED)), [len(total)]]))
+    cuts = [np.searchsorted(x[0], edge.astype(x[0].dtype)) for x in held]
+    runs = [_summed(*(np.concatenate([x[k][c[j] : c[j + 1]] for x, c in zip(held, cuts)]) for k in range(4))) for j in range(len(edge) - 1)]
+    return [np.concatenate(x) for x in zip(*runs)]
+
+
+def _summed(a: np.ndarray, p: np.ndarray, b: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    least = int(a.min()) if len(a) else 0
+    top, high, low = int(a.max(initial=0)) - least + 1, int(p.max(initial=0)) + 1, int(b.max(initial=0)) + 1
+    kinds = a.dtype, p.dtype, b.dtype
+    if top * high * low < 1 << 62:
+        key = a.astype(np.int64)
+        key -= least
+        key *= high
+        key += p
+        key *= low
+        key += b
         order = np.argsort(key)
         key = key[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
         a, b = np.divmod(key[first], high * low)
+        a += least
         p, b = np.divmod(b, low)
     else:
         order = np.lexsort((b, p, a))
         a, p, b = a[order], p[order], b[order]
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (p[1:] != p[:-1]) | (b[1:] != b[:-1])))
         a, p, b = a[first], p[first], b[first]
-    return a, p, b, np.add.reduceat(n[order], first) if len(first) else n
+    n = n[order].astype(np.int64)
+    n = np.add.reduceat(n, first) if len(first) else n
+    return [*(x.astype(kind) for x, kind in zip((a, p, b), kinds)), n if n.max(initial=0) >> 32 else n.astype(np.uint32)]
 
 
 def _linked(a: np.ndarray, p: np.ndarray, b: np.ndarray, n: np.ndarray) -> bytes:
     """Pairs by place: steps of places, which of the distinct others, how often; the others' parts and places."""
     low = int(b.max(initial=0)) + 1
-    other, at = np.unique(p * low + b, return_inverse=True)
-    p, b = np.divmod(other, low)
-    return _dump(_steps(a), at, n, p, b)
+    coded = pa.array(p.astype(np.int64) * low + b).dictionary_encode()
+    other, at = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(other)
+    number = np.empty(len(other), np.uint32)
+    number[order] = np.arange(len(other))
+    p, b = np.divmod(other[order], low)
+    return _dump(_steps(a), number[at], n, p, b)
 
 
 def _turned(followers: DataFrame, parts: int) -> DataFrame:
     """As followers, by part of the second word, with the words that precede it."""
 
     def turn(part: int, _: int, blob: bytes) -> Iterator[pa.RecordBatch]:
-        steps, at, n, p, b = _wide(blob)
-        a = np.cumsum(steps)
+        steps, at, n, p, b = _lean(blob)
         order = np.argsort(at, kind="stable")  # the others ascend by part and place
-        a, at, n = a[order], at[order], n[order]
-        cut = np.searchsorted(p[at], np.arange(parts + 1))
+        a, at, n = _along(steps)[order], at[order], n[order]
+        cut = np.append(0, np.cumsum(np.bincount(p[at], minlength=parts)))
         some = np.flatnonzero(np.diff(cut)).tolist()
         for lo in range(0, len(some), 1_000):
             few = some[lo : lo + 1_000]
             yield _rows(few, [part] * len(few), [_dump(_steps(b[at[cut[q] : cut[q + 1]]]), a[cut[q] : cut[q + 1]], n[cut[q] : cut[q + 1]]) for q in few])
 
     def merge(part: int, some: list) -> Iterator[pa.RecordBatch]:
-        held = []
-        for p, blob in some:
-            b, a, n = _wide(blob)
-            held.append([np.cumsum(b), np.full(len(a), p), a, n])
-        yield _rows([part], [1], [_linked(*_united(held))])
+        def placed(p: int, blob: bytes) -> list[np.ndarray]:
+            b, a, n = _lean(blob)
+            return [_along(b), np.full(len(a), p, np.min_scalar_type(p)), a, n]
+
+        yield _rows([part], [1], [_linked(*_gathered(placed(*x) for x in some))])
 
     return _by_part(_each_row(followers, turn), parts, merge)
 
@@ -480,13 +549,13 @@ def _profiles(linked: DataFrame, told: DataFrame, parts: int, classes: int) -> D
         (label,) = [_wide(blob)[0] for side, blob in some if side == _OWN]
         size, sides, selves = len(label), [], (np.empty(0, np.int64),) * 2
         for side in (0, 1):
-            held = [_wide(blob) for k, blob in some if k == side - 4]
+            held = [_lean(blob) for k, blob in some if k == side - 4]
             if not held:
                 continue
             steps, at, n, p, b = held[0]
-            a = np.cumsum(steps)
-            got = [_wide(blob)[0] for _, blob in sorted((k, blob) for k, blob in some if k >= 0 and k % 2 == side)]
-            of = np.concatenate([*got, np.full(int((p == parts).sum()), classes, np.int64)])
+            a = _along(steps)
+            got = [_load(blob)[0] for _, blob in sorted((k, blob) for k, blob in some if k >= 0 and k % 2 == side)]
+            of = np.concatenate([*got, np.full(int((p == parts).sum()), classes, np.min_scalar_type(classes))])
             sides.append((side, a, of[at], n))
             if side == 0:
                 me = np.flatnonzero((p[at] == part) & (b[at] == a))
@@ -495,8 +564,8 @@ def _profiles(linked: DataFrame, told: DataFrame, parts: int, classes: int) -> D
         for lo in range(0, size, _CHUNK):
             total = np.zeros(_CHUNK * 2 * width)
             for side, a, of, n in sides:
-                x, y = np.searchsorted(a, [lo, lo + _CHUNK])
-                total += np.bincount(((a[x:y] - lo) * 2 + side) * width + of[x:y], n[x:y], len(total))
+                x, y = np.searchsorted(a, np.array([lo, min(size, lo + _CHUNK)], a.dtype))
+                total += np.bincount(((a[x:y].astype(np.int64) - lo) * 2 + side) * width + of[x:y], n[x:y], len(total))
             cell = np.flatnonzero(total)
             keys.append(cell + lo * 2 * width)
             counts.append(total[cell].astype(np.int64))
@@ -610,7 +679,7 @@ def train(docs: DataFrame, text: str = "text", only: list[str] | None = None, cl
     width = classes + 1
     batches = written(_batches(docs, text, docs.columns if only is None else only), "batches")
     count, words = batches.where(f"side = {_OWN}").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    parts = max(4, -(-words // _SHARE))
+    parts = _parts(words)
     named = written(_named(batches, parts), "named")
     counted = named.where(f"side = {_OWN}")
     followers = written(_followers(batches, count, named, parts), "followers")

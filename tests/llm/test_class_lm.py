@@ -111,6 +111,43 @@ def test_likelihood_does_not_hang_on_the_number_of_parts(spark, small, monkeypat
     assert min(reached) > 0.7 * max(reached)
 
 
+def test_what_parts_tell_each_other_grows_with_the_text(spark, small, monkeypatch):
+    """Four times the text, by what a part's share is: about four times the rows, not sixteen,
+    and a part holds no more than _MOST shares."""
+    words = len(Words([r.text or "" for r in small.collect()]).hash)
+    rows, real = [], lm.written
+    monkeypatch.setattr(lm, "_FEW", 8, raising=False)
+    monkeypatch.setattr(lm, "written", lambda df, what: rows.append([what, got := real(df, what), got.count()]) or got)
+    many = []
+    for shares in (16, 64):
+        monkeypatch.setattr(lm, "_SHARE", words // shares)
+        rows.clear()
+        model = train(small, classes=4, passes=1)
+        parts = model.parts
+        many.append(sum(n for what, _, n in rows if what in ("asked", "told")))
+    assert many[1] < 6 * many[0]
+    assert parts >= words / (lm._MOST * lm._SHARE)
+    assert lm._parts(1_000 * words) >= 1_000 * words / (lm._MOST * lm._SHARE)
+
+
+def test_pairs_added_up_by_runs_are_those_of_one_count(monkeypatch):
+    rng = np.random.default_rng(7)
+    for united in (1, 7, 10_000):
+        monkeypatch.setattr(lm, "_UNITED", united)
+        held, loop = [], {}
+        for k in range(12):
+            a = np.sort(rng.integers(0, 30, k * 5)).astype(np.uint32)
+            p, b, n = (rng.integers(lo, hi, len(a)).astype(kind) for lo, hi, kind in ((0, 3, np.uint8), (0, 70_000, np.uint32), (1, 250, np.uint8)))
+            b[: len(b) // 2] %= 2
+            held.append([a, p, b, n])
+            for *key, many in zip(*(x.tolist() for x in held[-1])):
+                loop[tuple(key)] = loop.get(tuple(key), 0) + many
+        a, p, b, n = (x.tolist() for x in lm._gathered(iter(held)))
+        assert list(zip(a, p, b)) == sorted(loop) and n == [loop[x] for x in sorted(loop)]
+        steps, at, many, part, place = (x.astype(np.int64) for x in _load(lm._linked(*lm._united(held))))
+        assert np.cumsum(steps).tolist() == a and part[at].tolist() == p and place[at].tolist() == b and many.tolist() == n
+
+
 def test_odd(odd, none, clashing):
     got = {(r.doc_id, r.n_chars): r.lm for r in perplexity(odd, classes=3, passes=1).collect()}
     assert got[4, 0].n_words == 0 and got[4, 0].perplexity is None and got[5, None].log_prob == 0
