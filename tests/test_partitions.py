@@ -53,3 +53,11 @@ def test_roots_that_only_a_leaf_ties_together_dont_multiply(spark):
     joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner, (u" in line]
     assert joins and all("u1#" in j or "u2#" in j or "u3#" in j for j in joins)
     assert sorted(tuple(r) for r in df.select("u1", "u3", "u4").collect()) == sorted((k, 2000 + (7 * k) % 300, 1000) for k in range(300))
+
+
+def test_a_saved_graph_has_files_as_many_as_its_edges_ask_for(spark, small_tasks, tmp_path):
+    """32 runs of a label were all there were, sorted in one task each."""
+    g = graph(spark, SF, "single")
+    saved = g.save(f"file://{tmp_path}/g")
+    assert len(glob.glob(f"{tmp_path}/g/edges/elabel=4/*/*/*.parquet")) > 32
+    assert sorted(saved.edges.collect()) == sorted(g.reduced.edges.collect())
